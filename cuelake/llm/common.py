@@ -55,3 +55,28 @@ def remove(spark: SparkSession, path: str) -> None:
 def words(text: Column) -> Column:
     """The words of a text, in order; none for null."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(1))
+
+
+def once_a_process(name: str, build):
+    """What `build` makes, made once in each Python worker process: tasks that follow reuse it."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_cuelake_once", types.ModuleType("_cuelake_once")).__dict__
+    if name not in kept:
+        kept[name] = build()
+    return kept[name]
+
+
+class Memo(dict):
+    """A dictionary that makes what it lacks, and starts anew at `limit` entries, so it stays bounded."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit = make, limit
+
+    def __missing__(self, key):
+        if len(self) >= self.limit:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value

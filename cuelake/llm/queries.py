@@ -5,10 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import linededup, quality, simhash
+from cuelake.llm import bpe, chat, linededup, quality, simhash, tokenfile
 from cuelake.llm.common import table
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    hard = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(hard)
+    return chat.digests(chat.format_turns(turns))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
 def op5_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")))
     return entries.select(
@@ -27,7 +48,10 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_chat_format": op3_chat_format,
+    "op4_token_files": op4_token_files,
     "op5_quality_ledger": op5_quality_ledger,
+    "op6_bpe_round_trip": op6_bpe_round_trip,
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
@@ -127,7 +151,28 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '')
 FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
 """
 
+_OP3 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), f AS (
+  SELECT *, '### ' || role || ': '
+         || CASE WHEN contains(text, '\') OR contains(text, '###') OR contains(text, '</turn>')
+                 THEN replace(replace(replace(text, '\', '\\'), '#', '\#'), '<', '\<') ELSE text END
+         || '</turn>' || chr(10) AS rendered
+  FROM t
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, rendered)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, rendered) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(rendered))::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
 ORACLES = {
+    "op3_chat_format": _OP3,
     "op5_quality_ledger": _OP5,
     "op8_line_dedup": _OP8,
 }
