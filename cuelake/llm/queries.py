@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import bpe, chat, linededup, quality, simhash, tokenfile
+from cuelake.llm import bpe, chat, decontaminate, linededup, quality, simhash, tokenfile
 from cuelake.llm.common import table
 
 
@@ -15,6 +15,11 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.lit(True).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), "item_ids")
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     hard = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -48,6 +53,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
     "op3_chat_format": op3_chat_format,
     "op4_token_files": op4_token_files,
     "op5_quality_ledger": op5_quality_ledger,
@@ -151,6 +157,48 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '')
 FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
 """
 
+_OP2 = rf"""
+WITH src AS (
+  SELECT 0 AS kind, doc_id AS id, text FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
+  UNION ALL SELECT 1, min(item_id), text FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL GROUP BY text
+), word AS (
+  SELECT kind, id, unnest(w) AS raw, unnest(range(len(w))) AS i FROM (SELECT kind, id, regexp_extract_all(text, '{_WS}') AS w FROM src)
+), bare AS (
+  SELECT kind, id, row_number() OVER (PARTITION BY kind, id ORDER BY i) - 1 AS pos, raw, b, lower(b) AS low
+  FROM (SELECT *, regexp_replace(raw, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g') AS b FROM word) WHERE b <> ''
+), typed AS (
+  SELECT *, coalesce(lag(regexp_matches(raw, '[.!?:][^\p{{L}}\p{{N}}]*$')) OVER t, TRUE) AS opens,
+         coalesce(lag(regexp_full_match(b, '\p{{N}}[\p{{N}}.,:/]*')) OVER t, FALSE) AS after_number,
+         CASE WHEN regexp_full_match(b, '\p{{N}}[\p{{N}}.,:/]*') THEN 1
+              WHEN low IN ({", ".join(f"'{u}'" for u in decontaminate.UNITS)}) THEN 3
+              WHEN regexp_full_match(b, '\p{{Lu}}\p{{Ll}}+') THEN 2 ELSE 0 END AS may
+  FROM bare WINDOW t AS (PARTITION BY kind, id ORDER BY pos)
+), canon AS (
+  SELECT kind, id, pos, low, CASE WHEN may = 2 AND opens THEN 0 WHEN may = 3 AND NOT after_number THEN 0 ELSE may END AS place FROM typed
+), windowed AS (
+  SELECT kind, id, pos, list(CASE WHEN place > 0 THEN '<' || place || '>' ELSE low END) OVER f AS g,
+         list(CASE WHEN place > 0 THEN place || low END) OVER f AS s, count(*) OVER f AS n, sum(CASE WHEN place = 0 THEN 1 ELSE 0 END) OVER f AS free
+  FROM canon WINDOW f AS (PARTITION BY kind, id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {decontaminate.WINDOW - 1} FOLLOWING)
+), w AS (
+  SELECT kind, id, pos, array_to_string(g, ' ') AS g, s FROM windowed WHERE n = {decontaminate.WINDOW} AND free >= {decontaminate.LITERALS}
+), item AS (
+  SELECT *, count(*) OVER (PARTITION BY id) AS n_windows FROM w WHERE kind = 1
+), pairs AS (
+  SELECT d.id AS doc_id, i.id AS item_id, n_windows, d.pos - i.pos AS shift, i.pos AS ipos, d.s AS ds, i.s AS ss
+  FROM w d JOIN item i ON d.g = i.g WHERE d.kind = 0
+), slots AS (
+  SELECT doc_id, item_id, shift, ss[k] AS sv, ds[k] AS dv FROM pairs, (SELECT unnest(range(1, {decontaminate.WINDOW} + 1)) AS k) WHERE ss[k] IS NOT NULL
+), torn AS (
+  SELECT DISTINCT doc_id, item_id, shift FROM (SELECT doc_id, item_id, shift, sv FROM slots GROUP BY ALL HAVING count(DISTINCT dv) > 1)
+), good AS (
+  SELECT * FROM pairs ANTI JOIN torn USING (doc_id, item_id, shift)
+), found AS (
+  SELECT doc_id, item_id FROM good GROUP BY doc_id, item_id, n_windows HAVING count(DISTINCT ipos) >= {decontaminate.SHARE} * n_windows
+  UNION SELECT doc_id, item_id FROM good GROUP BY doc_id, item_id, shift HAVING count(DISTINCT ipos) >= {decontaminate.RUN}
+)
+SELECT doc_id, TRUE AS contaminated, count(*)::BIGINT AS n_items, list(item_id ORDER BY item_id) AS item_ids FROM found GROUP BY doc_id
+"""
+
 _OP3 = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -172,6 +220,7 @@ FROM f GROUP BY conv_id
 """
 
 ORACLES = {
+    "op2_decontaminate": _OP2,
     "op3_chat_format": _OP3,
     "op5_quality_ledger": _OP5,
     "op8_line_dedup": _OP8,
