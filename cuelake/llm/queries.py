@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import bpe, chat, decontaminate, linededup, quality, simhash, tokenfile
+from cuelake.llm import bpe, chat, decontaminate, linededup, pii, quality, secretscan, simhash, tokenfile
 from cuelake.llm.common import table
 
 
@@ -42,6 +42,11 @@ def op5_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "length", F.sha2("value", 256).alias("value_sha256"), "votes")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = linededup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", "text", F.col("__removed_lines").alias("removed_lines"), F.col("__removed_words").alias("removed_words"))
@@ -52,14 +57,20 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_chat_format": op3_chat_format,
     "op4_token_files": op4_token_files,
     "op5_quality_ledger": op5_quality_ledger,
     "op6_bpe_round_trip": op6_bpe_round_trip,
+    "op7_secret_scan": op7_secret_scan,
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_pii_spans": op10_pii_spans,
 }
 
 _WS = "[^\\x20\\x09-\\x0D]+"
