@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import bpe, chat, decontaminate, linededup, pii, quality, secretscan, simhash, tokenfile
+from cuelake.llm import bpe, chat, decontaminate, linededup, lm, pii, quality, secretscan, simhash, tokenfile
 from cuelake.llm.common import table
 
 
@@ -15,6 +15,11 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs, *lm.fit(docs))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.lit(True).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), "item_ids")
@@ -62,6 +67,7 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scores": op1_lm_scores,
     "op2_decontaminate": op2_decontaminate,
     "op3_chat_format": op3_chat_format,
     "op4_token_files": op4_token_files,
