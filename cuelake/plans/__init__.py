@@ -1,0 +1,10 @@
+"""Queries over the test tables, one for each operator."""
+
+from cuelake.plans import text_queries
+from cuelake.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "text_queries"]
+
+
+def flagship(spark, sf_dir):
+    return QUERIES["flt2_limits"](spark, sf_dir)
