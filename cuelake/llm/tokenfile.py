@@ -9,9 +9,9 @@ numbers without the ids, skip the other pages and columns.
 Texts are dealt out by ranges of doc_id and sorted there, so a file's start within all ids is the sum of the
 files before it; each task only adds up its own documents. No task sees the whole order.
 
-Encoding cuts a text before its single spaces, where the library's own splitting rule cuts too and never looks
-past the cut, and gives the library each distinct piece once. Texts that hold a special token or white space
-of another kind before a space go to the library whole.
+Encoding cuts a text before its single spaces and around its newlines, where the library's own splitting rule
+cuts too and never looks past the cut, and gives the library each distinct piece once. Texts that hold a
+special token, other white space, or a space beside more of it go to the library whole.
 
 Defined cases: null text counts as empty and holds the end id alone; rows that repeat a doc_id each have their
 own place, ordered by text; a null doc_id comes first; an empty table gives no rows.
@@ -20,6 +20,7 @@ own place, ordered by text; a null doc_id comes first; an empty table gives no r
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -30,17 +31,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import new_path, once_a_process
+from cuelake.llm.bpe import bytes_to_characters
+from cuelake.llm.common import Memo, new_path, once_a_process
 
 END = 2
-PIECES_KEPT = 1_000_000
+PIECES_KEPT = 700_000
 #: Texts are encoded together until they have so many characters.
-CHUNK = 1 << 20
+CHUNK = 1 << 22
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 2_000
-#: A space after one of these isn't cut: the library's rule takes white space together.
-_BEFORE_SPACE = [f"{c} " for c in map(chr, range(0x3001)) if c.isspace()]
-#: White space to Python alone.
-_ODD = re.compile("[\x1c-\x1f]")
+#: Texts that hold other white space than spaces and newlines aren't cut.
+_UNCUT = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_NEWLINES = re.compile("(\n+)")
 
 
 class Encoder:
@@ -52,40 +53,68 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(file)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}  # by what follows a space
-        self.stops = {c: self._whole(c) for c in ".,"}
+        self.uncut = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] + _UNCUT
+        self.spaced: dict[str, bytes] = {}  # by what follows a space
+        self.opening: dict[str, bytes] = {"": b""}  # by what starts a line
+        self.marks = Memo(self.whole, 10_000)
+        self.table = {b: c for b, c in bytes_to_characters().items() if chr(b) != c}
 
-    def _whole(self, text: str) -> bytes:
+    def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _pieces(self, text: str) -> list[str] | None:
-        """The text cut before single spaces, the spaces left out; None if it has cuts of another kind."""
-        if any(x in text for x in self.special) or any(x in text for x in _BEFORE_SPACE) or _ODD.search(text):
-            return None
-        return text.split(" ")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._pieces(t) for t in texts]
-        met: set[str] = set()
-        for s in split:
-            if s:
-                met.update(s[1:])
-        known = self.known
+    def _learn(self, met: set[str], known: dict[str, bytes], lead: str) -> None:
         if len(known) + len(met) > PIECES_KEPT:
             known.clear()
-        new = [p for p in met if p not in known]
-        # a stop after a letter is a piece of its own
-        stopped = [p for p in new if p[-1:] in self.stops and p[-2:-1].isalpha()]
-        plain = [*{p[:-1] for p in stopped if p[:-1] not in known}.union(new).difference(stopped)]
-        for piece, e in zip(plain, self.tokenizer.encode_batch_fast([f" {p}" for p in plain], add_special_tokens=False), strict=True):
+            known.update({} if lead else {"": b""})
+        ended, plain = [], set()
+        for p in met:
+            if p not in known:
+                stem = p.rstrip(string.punctuation)
+                # punctuation after a letter or digit is a piece of its own
+                if stem and stem is not p and stem[-1].isalnum() and len(stem) < len(p):
+                    ended.append((p, stem))
+                    if stem not in known:
+                        plain.add(stem)
+                else:
+                    plain.add(p)
+        # a run of letters is one piece to the library's rule, so it goes straight to its model
+        tokenize, table, mark = self.tokenizer.model.tokenize, self.table, lead and self.table[ord(lead)]
+        for p in [p for p in plain if p.isalpha()]:
+            seen = mark + p if p.isascii() else (lead + p).encode().decode("latin-1").translate(table)
+            known[p] = array("I", [t.id for t in tokenize(seen)]).tobytes()
+        pieces = [p for p in plain if not p.isalpha()]
+        for piece, e in zip(pieces, self.tokenizer.encode_batch_fast([lead + p for p in pieces], add_special_tokens=False), strict=True):
             known[piece] = array("I", e.ids).tobytes()
-        for p in stopped:
-            known[p] = known[p[:-1]] + self.stops[p[-1]]
-        return [
-            self._whole(t) if s is None else self._whole(s[0]) + b"".join(map(known.__getitem__, s[1:]))
-            for t, s in zip(texts, split, strict=True)
-        ]
+        for p, stem in ended:
+            known[p] = known[stem] + self.marks[p[len(stem) :]]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        # lines and the runs of newlines between them, in turn
+        cut = [None if any(x in t for x in self.uncut) else _NEWLINES.split(t) for t in texts]
+        words = [c and [line.split(" ") for line in c[::2]] for c in cut]
+        # nothing between spaces: a space beside more white space, which the rule takes together
+        words = [w if w and not any(len(line) > 1 and "" in line for line in w) else None for w in words]
+        met: set[str] = set()
+        for w in words:
+            for line in w or ():
+                met.update(line[1:])
+        self._learn(met, self.spaced, " ")
+        self._learn({line[0] for w in words if w for line in w}, self.opening, "")
+        opening, spaced, out = self.opening.__getitem__, self.spaced.__getitem__, []
+        for t, c, w in zip(texts, cut, words, strict=True):
+            if w is None:
+                out.append(self.whole(t))
+                continue
+            ids = []
+            for i, line in enumerate(w):
+                ids.append(opening(line[0]))
+                ids += map(spaced, line[1:])
+                if 2 * i + 1 < len(c):
+                    run = c[2 * i + 1]
+                    # before more text the last newline of a run stands alone
+                    ids += [self.marks[run]] if t.endswith(run) and 2 * i + 3 == len(c) and not c[-1] else [self.marks[run[1:]] if run[1:] else b"", self.marks["\n"]]
+            out.append(b"".join(ids))
+        return out
 
 
 def _encode_batches(file):
