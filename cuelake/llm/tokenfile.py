@@ -19,7 +19,6 @@ own place, ordered by text; a null doc_id comes first; an empty table gives no r
 
 from __future__ import annotations
 
-import re
 import string
 import zlib
 from array import array
@@ -41,7 +40,6 @@ CHUNK = 1 << 22
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 2_000
 #: Texts that hold other white space than spaces and newlines aren't cut.
 _UNCUT = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
-_NEWLINES = re.compile("(\n+)")
 
 
 class Encoder:
@@ -54,67 +52,48 @@ class Encoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.uncut = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] + _UNCUT
-        self.spaced: dict[str, bytes] = {}  # by what follows a space
-        self.opening: dict[str, bytes] = {"": b""}  # by what starts a line
-        self.marks = Memo(self.whole, 10_000)
         self.table = {b: c for b, c in bytes_to_characters().items() if chr(b) != c}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.marks = Memo(self.whole, 10_000)
+        self.breaks = Memo(self._break, 10_000)  # by the newlines in a run with text after it
+        self.spaced = Memo(lambda p: self._piece(" ", p), PIECES_KEPT)  # by what follows a space
+        self.opening = Memo(lambda p: self._piece("", p), PIECES_KEPT // 4)  # by what starts a line
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, met: set[str], known: dict[str, bytes], lead: str) -> None:
-        if len(known) + len(met) > PIECES_KEPT:
-            known.clear()
-            known.update({} if lead else {"": b""})
-        ended, plain = [], set()
-        for p in met:
-            if p not in known:
-                stem = p.rstrip(string.punctuation)
-                # punctuation after a letter or digit is a piece of its own
-                if stem and stem is not p and stem[-1].isalnum() and len(stem) < len(p):
-                    ended.append((p, stem))
-                    if stem not in known:
-                        plain.add(stem)
-                else:
-                    plain.add(p)
-        # a run of letters is one piece to the library's rule, so it goes straight to its model
-        tokenize, table, mark = self.tokenizer.model.tokenize, self.table, lead and self.table[ord(lead)]
-        for p in [p for p in plain if p.isalpha()]:
-            seen = mark + p if p.isascii() else (lead + p).encode().decode("latin-1").translate(table)
-            known[p] = array("I", [t.id for t in tokenize(seen)]).tobytes()
-        pieces = [p for p in plain if not p.isalpha()]
-        for piece, e in zip(pieces, self.tokenizer.encode_batch_fast([lead + p for p in pieces], add_special_tokens=False), strict=True):
-            known[piece] = array("I", e.ids).tobytes()
-        for p, stem in ended:
-            known[p] = known[stem] + self.marks[p[len(stem) :]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        # lines and the runs of newlines between them, in turn
-        cut = [None if any(x in t for x in self.uncut) else _NEWLINES.split(t) for t in texts]
-        words = [c and [line.split(" ") for line in c[::2]] for c in cut]
-        # nothing between spaces: a space beside more white space, which the rule takes together
-        words = [w if w and not any(len(line) > 1 and "" in line for line in w) else None for w in words]
-        met: set[str] = set()
-        for w in words:
-            for line in w or ():
-                met.update(line[1:])
-        self._learn(met, self.spaced, " ")
-        self._learn({line[0] for w in words if w for line in w}, self.opening, "")
-        opening, spaced, out = self.opening.__getitem__, self.spaced.__getitem__, []
-        for t, c, w in zip(texts, cut, words, strict=True):
-            if w is None:
-                out.append(self.whole(t))
-                continue
-            ids = []
-            for i, line in enumerate(w):
-                ids.append(opening(line[0]))
-                ids += map(spaced, line[1:])
-                if 2 * i + 1 < len(c):
-                    run = c[2 * i + 1]
-                    # before more text the last newline of a run stands alone
-                    ids += [self.marks[run]] if t.endswith(run) and 2 * i + 3 == len(c) and not c[-1] else [self.marks[run[1:]] if run[1:] else b"", self.marks["\n"]]
-            out.append(b"".join(ids))
-        return out
+    def _break(self, run: int) -> bytes:
+        """Before more text the last newline of a run stands alone."""
+        return (self.marks["\n" * (run - 1)] if run > 1 else b"") + self.marks["\n"]
+
+    def _piece(self, lead: str, piece: str) -> bytes:
+        if piece.isalpha():
+            # a run of letters is one piece to the library's rule, so it goes straight to its model
+            mark = self.table[32] if lead else ""
+            seen = mark + (piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.table))
+            return array("I", [t.id for t in self.tokenize(seen)]).tobytes()
+        stem = piece.rstrip(string.punctuation)
+        if stem and stem is not piece and stem[-1].isalnum():  # punctuation after a letter or digit is a piece of its own
+            return (self.spaced if lead else self.opening)[stem] + self.marks[piece[len(stem) :]]
+        return self.whole(lead + piece)
+
+    def encode(self, text: str) -> bytes:
+        # a space beside more white space: the rule takes them together
+        if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or any(x in text for x in self.uncut):
+            return self.whole(text)
+        opening, spaced, ids, run = self.opening.__getitem__, self.spaced.__getitem__, [], -1
+        for line in text.split("\n"):
+            run += 1
+            if line:
+                if run:
+                    ids.append(self.breaks[run])
+                    run = 0
+                words = line.split(" ")
+                ids.append(opening(words[0]))
+                ids += map(spaced, words[1:])
+        if run > 0:
+            ids.append(self.marks["\n" * run])
+        return b"".join(ids)
 
 
 def _encode_batches(file):
@@ -132,7 +111,7 @@ def _encode_batches(file):
                 while at + len(part) < len(ids) and size < CHUNK:
                     part.append(texts[at + len(part)].as_py() or "")
                     size += len(part[-1])
-                rows = [np.frombuffer(x, "<u4") for x in encoder.encode(part)]
+                rows = [np.frombuffer(x, "<u4") for x in map(encoder.encode, part)]
                 counts = np.array([len(x) + 1 for x in rows], np.int64)
                 ends = np.cumsum(counts)
                 flat = np.full(int(ends[-1]), END, np.int32)
