@@ -230,3 +230,53 @@ def read_event_log(spark: SparkSession, path: str, after: int = 0) -> DataFrame:
     schema = "event_id string, task_id string, sequence bigint, occurred_at string, type string, data string, _torn string"
     events = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_torn").json(path)
     return events.where((F.col("sequence") > after) & F.col("_torn").isNull()).drop("_torn")
+
+
+RECOGNIZED = "utterances array<struct<text:string,start_time:bigint,end_time:bigint,words:array<struct<text:string,start_time:bigint,end_time:bigint>>>>"
+
+
+def import_recognized(bodies: DataFrame, lenient: bool = False) -> DataFrame:
+    """(key, segment_id, start_ms, end_ms, text, words, dropped, problem) of a recognizer's answer (key, source).
+
+    Blank words without times (-1) are no words. Strictly, any other word that doesn't fit is the file's problem;
+    leniently such words are dropped and counted. Segments must be in order either way."""
+    from pyspark.sql import Window as W
+
+    rows = bodies.select("key", F.posexplode_outer(F.from_json("source", RECOGNIZED)["utterances"]).alias("at", "u"))
+    spoken = F.filter(F.coalesce("u.words", F.array().cast("array<struct<text:string,start_time:bigint,end_time:bigint>>")), lambda w: ~((w["start_time"] == -1) & (w["end_time"] == -1) & (T.trim(w["text"]) == "")))
+    words = F.transform(spoken, lambda w: F.struct(w["text"].alias("text"), w["start_time"].alias("start_ms"), w["end_time"].alias("end_ms")))
+    in_file = W.partitionBy("key").orderBy("at")
+    ordered = (F.col("u.start_time") >= F.lag("u.end_time", 1, 0).over(in_file)) & (F.col("u.end_time") > F.col("u.start_time"))
+    kept = rows.withColumn("k", keep_words(words, F.col("u.start_time"), F.col("u.end_time"))).withColumn(
+        "p",
+        F.when(F.col("at").isNull(), "no_segments").when(T.trim(F.coalesce("u.text", F.lit(""))) == "", "empty_text").when(~F.coalesce(ordered, F.lit(False)), "bad_interval")
+        .when((F.col("k.dropped") > 0) & F.lit(not lenient), "bad_word"),
+    )
+    first = F.first("p", ignorenulls=True).over(in_file.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    return kept.withColumn("problem", first).select(
+        "key", F.format_string("asr-segment-%04d", F.col("at") + 1).alias("segment_id"), F.col("u.start_time").alias("start_ms"), F.col("u.end_time").alias("end_ms"), F.col("u.text").alias("text"),
+        F.transform("k.words", lambda w, i: F.struct(F.format_string("asr-word-%04d-%04d", F.col("at") + 1, i + 1).alias("word_id"), w["text"].alias("text"), w["start_ms"].alias("start_ms"), w["end_ms"].alias("end_ms"))).alias("words"),
+        "k.dropped", "problem",
+    )
+
+
+def inspect(files: DataFrame, cues: DataFrame) -> DataFrame:
+    """(key, bytes, sha256, format, cue_count, duration_ms, problem) of `read_files` and the cues that a reader found."""
+    found = cues.groupBy("key").agg(F.count("start_ms").alias("cue_count"), F.max("end_ms").alias("duration_ms"), F.first("problem", ignorenulls=True).alias("__p"))
+    joined = files.join(found, "key", "left")
+    return joined.select("key", "bytes", "sha256", detect_format(F.col("source"), F.col("key")).alias("format"), "cue_count", "duration_ms", F.coalesce("problem", "__p").alias("problem"))
+
+
+def log_gaps(events: DataFrame) -> DataFrame:
+    """(task_id, sequence, expected) where a task's sequence isn't 1, 2, 3 and so on."""
+    from pyspark.sql import Window as W
+
+    expected = F.row_number().over(W.partitionBy("task_id").orderBy("sequence")).cast("long")
+    return events.select("task_id", "sequence", expected.alias("expected")).where("sequence <> expected")
+
+
+def split_valid(rows: DataFrame, column: str, schema: str, required: str) -> tuple[DataFrame, DataFrame]:
+    """(records, bad rows) of JSON texts: a record that doesn't parse, or lacks what it needs, stops no other one."""
+    parsed = rows.withColumn("record", F.from_json(column, schema))
+    good = F.coalesce(F.expr(f"record.{required} IS NOT NULL"), F.lit(False))
+    return parsed.where(good), rows.withColumn("record", F.from_json(column, schema)).where(~good).drop("record")
