@@ -249,12 +249,11 @@ def ag14(spark, d):
     return rows.groupBy("task_id", "ref").agg(R.ordered_text(F.col("ch"), F.col("at"), "").alias("text"))
 
 
-@query("jn7_word_evidence", sql(f"SELECT task_id, segment_id AS ref, start_ms, end_ms, count(*) AS characters FROM (SELECT w.task_id, w.segment_id, w.start_ms, w.end_ms, unnest(range(len({MATCH.format('w.text')}))) AS i FROM words w WHERE NOT contains(w.text, 'ß')) GROUP BY ALL"))
+@query("jn7_word_evidence", sql(f"SELECT task_id, segment_id AS ref, start_ms, end_ms, count(*) AS characters FROM (SELECT w.task_id, w.segment_id, w.start_ms, w.end_ms, unnest(range(len({MATCH.format('w.text')}))) AS i FROM words w JOIN segments g ON g.task_id = w.task_id AND g.idx = w.idx WHERE NOT contains(g.text, 'ß')) GROUP BY ALL"))
 def jn7(spark, d):
     """Each character has the times of its word."""
     cues, spoken = D.segments(spark, d).where(~F.col("text").contains("ß")), D.words(spark, d)
     timed = A.time_evidence(cues, spoken, "segment_id")
-    # cues that were cut inside a word with ß have none of their words here
     return timed.groupBy("task_id", "ref", "start_ms", "end_ms").agg(F.count("*").alias("characters"))
 
 
@@ -268,7 +267,7 @@ def ag12(spark, d):
     """JN7's times carried over to a reference."""
     cues = D.segments(spark, d)
     asr = A.time_evidence(cues, D.words(spark, d), "segment_id")
-    kept = cues.where("(task_id + idx) % 5 <> 3").withColumn("reference_id", F.format_string("reference-%04d", F.col("idx") + 1))
+    kept = D.segments(spark, d).where("(task_id + idx) % 5 <> 3").withColumn("reference_id", F.format_string("reference-%04d", F.col("idx") + 1))
     reference = A.character_rows(kept, "reference_id")
     return A.timed_units(A.align(asr, reference), asr, reference)
 
