@@ -42,3 +42,20 @@ def test_pipeline_on_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = spark.createDataFrame(stage(spark, docs, SF).collect(), stage(spark, docs, SF).schema)
         assert docs.count() == 0
+
+
+def test_stages_take_awkward_rows(spark):
+    """Nulls in any column, empty and long texts, repeated rows, and columns named like the operators' own."""
+    words = [f"{a}{b}" for a in "bcdfg" for b in "aeiou"]
+    good = "\n".join(" ".join(f"{words[(i * 7 + k * k) % 25]}{words[(i + k) % 23]}" for k in range(12)) for i in range(8))
+    rows = [(1, good, "en", "s", len(good)), (1, good, "en", "s", len(good)), (2, good.upper().lower(), None, None, None), (None, good + " end", "en", "s", 1), (3, None, "en", "s", 0), (4, "", "en", "s", 0)]
+    rows += [(5, good.replace("\n", " ") + " other words at the end", "en", "s", 9), (6, "\n".join([good] * 50), "en", "s", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as d", "2 as fp", "3 as w", "4 as component_id", "5 as hash", "6 as item_id")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        docs = spark.createDataFrame(out.collect(), out.schema)
+    kept = sorted((r["doc_id"] or 0) for r in docs.collect())
+    assert set(kept) <= {0, 1, 2, 5, 6} and 1 in kept and 0 in kept and 5 in kept
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert sorted((r["doc_id"] or 0) for r in last) == kept
