@@ -4,7 +4,7 @@ Base spans (e-mail, IP address, card, phone number) are exact patterns with chec
 found from the runs of digits and the `@` signs of a text, in time linear in its length.
 
 Generators then propose spans that a pattern alone can't settle and that may overlap: digit groups with any
-separators, addresses spelled with "at" and "dot", colon-separated hexadecimal groups. Each gets features of
+separators (each run of neighbouring groups), addresses spelled with "at" and "dot", colon-separated hexadecimal groups. Each gets features of
 its format and of the words beside it; gradient-boosted trees score it, the scores are calibrated on held-out
 cases, and a candidate is a finding if it passes its kind's threshold, the lowest with the wanted precision
 there. Findings that overlap a base span are dropped, and of overlapping ones the likeliest stays.
@@ -88,8 +88,11 @@ def base_spans(text: str) -> list[Span]:
 
 
 # Candidates. Cues are words that stand before a number; fixed values.
-_NUMBER = re.compile(r"\(?\+?[0-9](?:[ ().\-/_\xa0]{0,2}[0-9])+")
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\bat\b) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\bdot\b|\.) ?[A-Za-z0-9-]{2,63}){1,4}", re.IGNORECASE)
+_JOIN = r"[ ().\-/_\xa0]{1,2}"
+_NUMBER = re.compile(rf"[0-9]+(?:{_JOIN}[0-9]+)*")
+_LED, _FOLLOWED = re.compile(rf"([0-9]+)({_JOIN})$"), re.compile(rf"({_JOIN})([0-9]+)")
+_AT = re.compile(r"\(at\)|\[at\]|\bat\b", re.IGNORECASE)
+_HOST = re.compile(r" ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\bdot\b|\.) ?[A-Za-z0-9-]{2,63}){1,4}", re.IGNORECASE)
 _HEX = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
 _CUES = {
     "phone": re.compile(r"\b(?:phone|tel|telephone|call|mobile|cell|fax|whatsapp|téléphone|telefon|teléfono)\b\W*(?:me |us |at |is |no |number )*\W*$", re.IGNORECASE),
@@ -99,21 +102,37 @@ _CUES = {
 }
 FEATURES = (
     "email ip card phone digits groups shortest longest separators kinds_of_separator plus parenthesis luhn alnum_before alnum_after "
-    "cue_phone cue_card cue_address cue_other leading_zero distinct_digits last_label letters dashes_or_dots year"
+    "cue_phone cue_card cue_address cue_other leading_zero distinct_digits last_label letters dashes_or_dots year "
+    "first_group last_group joined_before joined_after same_before same_after"
 ).split()
 
 
 def candidates(text: str) -> Iterator[Span]:
+    """Every run of neighbouring digit groups with 7 to 19 digits, every spelled address, every hexadecimal one."""
     for m in _NUMBER.finditer(text):
-        n = sum(map(str.isdigit, m[0]))
-        if 12 <= n <= 19:
-            yield "card", m.start(), m.end()
-        if 7 <= n <= 15:
-            yield "phone", m.start(), m.end()
-    lower = text.lower() if "dot" in text or "DOT" in text or "at" in text and ("(at" in text or "[at" in text) else ""
-    if lower and ("dot" in lower or "(at)" in lower or "[at]" in lower):
-        for m in _SPELLED.finditer(text):
-            yield "email", m.start(), m.end()
+        groups = [g.span() for g in _DIGITS.finditer(text, *m.span())]
+        for i, (start, _) in enumerate(groups):
+            start -= text[start - 1 : start] == "+"
+            start -= text[start - 1 : start] == "("
+            n = 0
+            for a, b in groups[i : i + 19]:
+                n += b - a
+                if n > 19:
+                    break
+                if n >= 12:
+                    yield "card", start, b
+                if 7 <= n <= 15:
+                    yield "phone", start, b
+    last = 0
+    for m in _AT.finditer(text):
+        if m.start() >= last and (host := _HOST.match(text, m.end())):
+            end = m.start() - (text[m.start() - 1 : m.start()] == " ")
+            start = end
+            while start > max(last, end - 64) and text[start - 1] in _LOCAL:
+                start -= 1
+            if start < end:
+                last = host.end()
+                yield "email", start, last
     if ":" in text:
         for m in _HEX.finditer(text):
             yield "ip", m.start(), m.end()
@@ -124,6 +143,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     groups = [len(g) for g in _DIGITS.findall(s)] or [0]
     digits = "".join(c for c in s if c.isdigit())
     separators = [c for c in s if not c.isalnum()]
+    led, followed = _LED.search(before), _FOLLOWED.match(text, end)
     return [
         *(float(kind == k) for k in KINDS),
         len(digits), len(groups), min(groups), max(groups), len(separators), len({*separators}),
@@ -132,6 +152,8 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         *(float(bool(c.search(before))) for c in _CUES.values()),
         float(digits.startswith("0")), len({*digits}), len(re.split(r"[\W_]+", s)[-1]), sum(map(str.isalpha, s)),
         sum(c in "-." for c in separators), float(bool(re.search(r"(?<!\d)(?:19|20)\d\d(?!\d)", s))),
+        groups[0], groups[-1], len(led[1]) if led else 0, len(followed[2]) if followed else 0,
+        float(bool(led) and led[2] in s), float(bool(followed) and followed[1] in s),
     ]
 
 
@@ -182,11 +204,28 @@ def cases(n: int = CASES, seed: int = SEED) -> tuple[list[str], list[Span], np.n
         kind, make, cues = pick(*yes) if real else pick(*no)
         cue = pick(*cues) if rng.random() < 0.7 else letters(5)
         left, value, right = f"{letters(4)} {letters(6)} {cue} ", make(), pick(" ", ". ", ", ", "\n", ") ") + letters(6)
+        numeric, whole = kind in ("card", "phone"), (kind, len(left), len(left) + len(value))
+        if real and numeric and rng.random() < 0.5:  # another number beside it
+            other = pick(phone, card, date, lambda: f"{rng.integers(1, 13):02}/{rng.integers(24, 35)}")()
+            if rng.random() < 0.5:
+                right = " " + other + right
+            else:
+                left += other + " "
+                whole = (kind, len(left), len(left) + len(value))
         text = left + value + right
-        spanned = [c for c in candidates(text) if c[0] == kind and c[1] < len(left) + len(value) and c[2] > len(left)]
-        if spanned:
+        spanned = [c for c in candidates(text) if (numeric and real or c[0] == kind) and c[1] < whole[2] and c[2] > whole[1]]
+        parts = [c for c in spanned if c != whole]
+        if numeric and real and parts and rng.random() < 0.4:  # a part of the number, or more than it
             texts.append(text)
-            spans.append(spanned[0])
+            spans.append(parts[rng.integers(len(parts))])
+            truth.append(False)
+        elif numeric and real:
+            texts.append(text)
+            spans.append(whole)
+            truth.append(True)
+        elif spanned:
+            texts.append(text)
+            spans.append(spanned[rng.integers(len(spanned))])
             truth.append(real)
     return texts, spans, np.array(truth)
 
@@ -258,7 +297,7 @@ def redact(text: str, spans: Iterable[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-_SOME = re.compile(r"[0-9@]|\bdot\b|[(\[]at[)\]]", re.IGNORECASE)
+_SOME = re.compile(r"[0-9@]|\bat\b|:[a-f]{0,4}:", re.IGNORECASE)
 
 
 def _batches(detector: Detector, with_text: bool):
