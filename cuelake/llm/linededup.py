@@ -1,28 +1,28 @@
 """Line deduplication by winnowing over line hashes, in DataFrame functions only.
 
-Every line that has a word gets a hash. A window is the shortest run of such lines, from each line on,
-that holds at least `MIN_WORDS` words; the line with the least hash in it (the first of equals) is a
-fingerprint. Two texts that share a run of at least `MIN_WORDS` words share the run's first window and so
-a fingerprint at the same place in it: none of these runs is missed.
+A run is a number of consecutive lines that have a word (lines without words don't count). A run of at least
+`MIN_WORDS` words is a repeat if an equal run stands in an earlier document, or in the same document and ends
+before it begins. All lines of all repeats go; what is first stays, so every line's first occurrence stays.
 
-Each fingerprint is joined to the first place, in order of document and line, that has the same one. The
-match is extended both ways, line by line, up to the next fingerprints, as long as the lines stay equal.
-Lines of a match that are not the first go, if the run of matched lines they are in has at least
-`MIN_WORDS` words.
+It suffices to look at the shortest runs of `MIN_WORDS` words, those that begin at each line and those that
+end at each line: a repeat consists of repeats among them. They are the windows, of at most `MIN_WORDS` lines
+each. A window's fingerprint is the least of its line hashes; equal windows have equal fingerprints, at the same
+place in them, so none is missed. Fingerprints are joined by their hash and by that of the lines on both sides of
+them up to the window's ends, that is, a match counts if it extends both ways over a whole window. Windows that
+overlap or touch extend it further.
 
-No join gives pairs of a group's members: a fingerprint meets one first place, however often it occurs,
-and a line is looked up at two places at most.
+A window meets one place, the first that has an equal one, however often it occurs: no join gives pairs of a group's
+members, and a group's first place is found by partial minima.
 
 Defined cases: a null text stays null; a null doc_id leaves the row as it is, and its lines are no source of
-matches; lines without words are no part of windows or matches and stay; rows that repeat both doc_id and
-text are one document and all get its text; rows that share only the doc_id are ordered by a hash of their
-text; an empty table gives an empty result.
+matches; lines without words stay; rows that repeat both doc_id and text are one document and all get its
+text; rows that share only the doc_id are ordered by a hash of their text; a text of which nothing is left is
+empty; an empty table gives an empty result. The work is linear in a text's lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuelake.llm.common import WORD, materialize
@@ -30,87 +30,88 @@ from cuelake.llm.common import WORD, materialize
 MIN_WORDS = 8
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(d, k, pos, row, h, w): document, hash of its text, the line's number among the lines with words and
-    among all, its hash and its number of words. One row a line, whatever repeats in `docs`."""
-    text = docs.where("doc_id is not null and text is not null").select(
-        F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("k"), F.split("text", "\n").alias("l")
+def _apart(df: DataFrame, **columns: Column) -> DataFrame:
+    """Columns computed once a row: the one-row generator keeps them out of the lambdas that use them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
+def _lines(text: Column) -> Column:
+    """(row, h, g, w) of each line that has a word: its number among all lines, two independent hashes, its words."""
+    each = F.transform(
+        F.split(text, "\n"),
+        lambda x, i: F.struct(i.alias("row"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"), F.regexp_count(x, F.lit(WORD)).alias("w")),
     )
-    measured = text.select(
-        "d", "k", F.transform("l", lambda x, i: F.struct(i.alias("row"), F.md5(x.cast("binary")).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("w"))).alias("l")
+    return F.filter(each, lambda x: x["w"] > 0)
+
+
+def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(d, k, pos, print, sides, rows): document and hash of its text, the window's first line among those with
+    words, its fingerprint, the hash of all its lines in order, and their row numbers in the text."""
+    text = docs.where("doc_id is not null and text is not null").select(
+        F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("k"), F.col("text").cast("string").alias("t")
     )
-    worded = measured.select("d", "k", F.filter("l", lambda x: x["w"] > 0).alias("l")).dropDuplicates(["d", "k"])
-    return worded.select("d", "k", F.posexplode("l").alias("pos", "x")).select("d", "k", "pos", "x.row", "x.h", "x.w")
-
-
-def fingerprints(of: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(d, k, pos, h) of the lines that are least in some window."""
-    doc = W.partitionBy("d", "k")
-    before = F.coalesce(F.sum("w").over(doc.orderBy("pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    at = of.select("d", "k", "pos", "h", "w", before.alias("before"))
-    # a line belongs to the window from this one on if fewer than min_words words stand between their starts
-    window = doc.orderBy("before").rangeBetween(0, min_words - 1)
-    least = F.min(F.struct("h", "pos")).over(window)
-    total = F.sum("w").over(doc.orderBy("before").rowsBetween(0, W.unboundedFollowing))
-    return (
-        at.select("d", "k", least.alias("least"), total.alias("rest"))
-        .where(F.col("rest") >= min_words)
-        .select("d", "k", F.col("least.pos").alias("pos"), F.col("least.h").alias("h"))
-        .distinct()
+    lined = _apart(text, l=_lines(F.col("t"))).drop("t").where(F.size("l") > 0)
+
+    def at(i: Column) -> Column:
+        return F.get("l", i)
+
+    def length(i: Column, step: int) -> Column:
+        """Lines of the shortest window from line i on, or back from it; 0 if the text ends before it's full."""
+        near = F.array(*[F.when(i + step * j >= 0, at(i + step * j)["w"]) for j in range(min_words)])
+        none = F.struct(F.lit(0).alias("words"), F.lit(0).alias("n"))
+        grown = F.aggregate(
+            near,
+            none,
+            lambda acc, w: F.when((acc["words"] >= min_words) | w.isNull(), acc).otherwise(F.struct((acc["words"] + w).alias("words"), (acc["n"] + 1).alias("n"))),
+            lambda acc: F.when(acc["words"] >= min_words, acc["n"]).otherwise(0),
+        )
+        return F.when(at(i)["w"] >= min_words, 1).otherwise(grown)
+
+    # a window as one number, its start and its length: equal ones are the same window of the text
+    place = F.transform(
+        F.sequence(F.lit(0), F.size("l") - 1),
+        lambda i: F.transform(F.array(length(i, 1), -length(i, -1)), lambda n: F.when(n != 0, F.when(n > 0, i).otherwise(i + n + 1).cast("long") * (min_words + 1) + F.abs(n))),
     )
+    placed = _apart(lined, c=F.array_distinct(F.filter(F.flatten(place), lambda c: c.isNotNull())))
+
+    def cut(c: Column) -> Column:
+        start = F.floor(c / (min_words + 1)).cast("int")
+        return F.struct(start.alias("pos"), F.filter(F.array(*[at(start + j) for j in range(min_words)]), lambda _, j: j < c % (min_words + 1)).alias("x"))
+
+    wide = _apart(placed, v=F.transform("c", cut)).select("d", "k", "v")
+    made = F.transform(
+        "v",
+        lambda v: F.struct(
+            v["pos"].alias("pos"), F.array_min(F.transform(v["x"], lambda x: x["h"])).alias("print"),
+            F.xxhash64(F.transform(v["x"], lambda x: x["g"])).alias("sides"), F.transform(v["x"], lambda x: x["row"]).alias("rows"),
+        ),
+    )
+    return wide.select("d", "k", F.inline(made))
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(d, k, row, w) of every line to delete."""
-    every = materialize(lines(docs), "line-hashes")
-    prints = fingerprints(every, min_words)
+    """(d, k, row) of every line to delete; a line may come several times."""
+    every = materialize(windows(docs, min_words), "line-windows")
     place = F.struct("d", "k", "pos")
-    first = prints.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = materialize(
-        prints.join(first, "h").where(place > F.col("first")).select("d", "k", "pos", F.struct("first.d", "first.k", (F.col("first.pos") - F.col("pos")).alias("shift"), "pos").alias("anchor")),
-        "line-matches",
-    )
-    # each line of a document with matches may continue the match before it or the one after it
-    touched = every.join(later.select("d", "k").distinct(), ["d", "k"], "left_semi")
-    doc = W.partitionBy("d", "k").orderBy("pos")
-    around = touched.join(later, ["d", "k", "pos"], "left").select(
-        "d", "k", "pos", "row", "h", "w",
-        F.last("anchor", ignorenulls=True).over(doc.rowsBetween(W.unboundedPreceding, 0)).alias("prev"),
-        F.first("anchor", ignorenulls=True).over(doc.rowsBetween(0, W.unboundedFollowing)).alias("next"),
-    )
-    sides = around.select("d", "k", "pos", "row", "h", "w", F.inline(F.array(F.struct(F.lit(True).alias("on"), F.col("prev").alias("a")), F.struct(F.lit(False).alias("on"), F.col("next").alias("a")))))
-    asked = sides.where("a is not null").select(
-        "d", "k", "pos", "row", "h", "w", "on", F.col("a.pos").alias("anchor"),
-        F.col("a.d").alias("fd"), F.col("a.k").alias("fk"), (F.col("pos") + F.col("a.shift")).alias("fpos"),
-    )
-    there = every.select(F.col("d").alias("fd"), F.col("k").alias("fk"), F.col("pos").alias("fpos"), F.col("h").alias("fh"))
-    equal = asked.join(there, ["fd", "fk", "fpos"], "left").withColumn("same", F.coalesce(F.col("h") == F.col("fh"), F.lit(False)))
-    distance = F.abs(F.col("pos") - F.col("anchor"))
-    outward = W.partitionBy("d", "k", "on", "anchor").orderBy(distance).rowsBetween(W.unboundedPreceding, 0)
-    matched = equal.withColumn("same", F.min("same").over(outward)).where("same").select("d", "k", "pos", "row", "w").distinct()
-    # runs of matched lines: their position less their rank stays the same
-    run = F.col("pos") - F.row_number().over(doc)
-    size = F.sum("w").over(W.partitionBy("d", "k", "run"))
-    return matched.withColumn("run", run).withColumn("size", size).where(F.col("size") >= min_words).select("d", "k", "row", "w")
+    first = every.groupBy("print", "sides").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").drop("last")
+    apart = (F.col("d") != F.col("first.d")) | (F.col("k") != F.col("first.k")) | (F.col("first.pos") + F.size("rows") <= F.col("pos"))
+    return every.join(first, ["print", "sides"]).where((place > F.col("first")) & apart).select("d", "k", F.explode("rows").alias("row"))
 
 
 def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of `docs` with `text` less its repeated lines, and `__removed_lines`, `__removed_words` (long)."""
-    gone = repeats(docs, min_words).groupBy("d", "k").agg(
-        F.collect_list("row").alias("__rows"), F.count("*").alias("__removed_lines"), F.sum("w").alias("__removed_words")
-    )
+    gone = repeats(docs, min_words).groupBy(F.col("d").alias("__d"), F.col("k").alias("__k")).agg(F.collect_set("row").alias("__rows"))
     columns = docs.columns
     keyed = docs.select("*", F.col("doc_id").cast("long").alias("__d"), F.xxhash64("text").alias("__k"))
-    gone = gone.withColumnsRenamed({"d": "__d", "k": "__k"})
     both = keyed.join(gone, ["__d", "__k"], "left")
     # a set of the row numbers to keep, so that a long text isn't searched for each of its lines
-    split = F.split("text", "\n")
-    rows = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__rows"))
-    left = F.when(F.size(rows) == 0, "").otherwise(F.array_join(F.transform(rows, lambda i: F.get(F.col("__split"), i)), "\n"))
-    edited = both.select("*", F.inline(F.array(F.struct(split.alias("__split")))))
+    edited = _apart(both, __split=F.when(F.col("__rows").isNotNull(), F.split("text", "\n")))
+    edited = _apart(edited, __left=F.array_except(F.sequence(F.lit(0), F.size("__split") - 1), F.col("__rows")))
+    left = F.when(F.size("__left") == 0, "").otherwise(F.array_join(F.transform("__left", lambda i: F.get(F.col("__split"), i)), "\n"))
     text = F.when(F.col("__rows").isNull(), F.col("text")).otherwise(left)
+    lost = F.aggregate(F.transform("__rows", lambda i: F.regexp_count(F.get(F.col("__split"), i), F.lit(WORD))), F.lit(0).cast("long"), lambda a, n: a + n)
     return edited.select(
-        *[text.alias(c) if c == "text" else both[c] for c in columns],
-        F.coalesce("__removed_lines", F.lit(0).cast("long")).alias("__removed_lines"),
-        F.coalesce("__removed_words", F.lit(0).cast("long")).alias("__removed_words"),
+        *[text.alias(c) if c == "text" else edited[c] for c in columns],
+        F.when(F.col("__rows").isNull(), 0).otherwise(F.size("__rows")).cast("long").alias("__removed_lines"),
+        F.coalesce(lost, F.lit(0).cast("long")).alias("__removed_words"),
     )

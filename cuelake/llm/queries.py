@@ -120,54 +120,28 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
+#: All runs of at most MIN_WORDS lines, by their text: a longer repeat consists of repeats among them.
 _OP8 = rf"""
-WITH raw AS (
-  SELECT doc_id, string_split(text, chr(10)) AS l FROM documents
-), split AS (
-  SELECT doc_id, unnest(l) AS line, unnest(range(len(l)))::INT AS row FROM raw
-), counted AS (
-  SELECT doc_id, row, md5(line) AS h, len(regexp_extract_all(line, '{_WS}')) AS w FROM split
+WITH split AS (
+  SELECT doc_id, unnest(l) AS line, unnest(range(len(l)))::INT AS row FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
 ), line AS (
-  SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY row) - 1)::INT AS pos,
-         coalesce(sum(w) OVER (PARTITION BY doc_id ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
-         sum(w) OVER (PARTITION BY doc_id ORDER BY row ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS rest
-  FROM counted WHERE w > 0
-), least AS (
-  SELECT doc_id, rest, min({{'h': h, 'pos': pos}}) OVER (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND {linededup.MIN_WORDS - 1} FOLLOWING) AS m
-  FROM line
-), prints AS (
-  SELECT DISTINCT doc_id, m.pos AS pos, m.h AS h FROM least WHERE rest >= {linededup.MIN_WORDS}
-), firsts AS (
-  SELECT h, min({{'doc_id': doc_id, 'pos': pos}}) AS f FROM prints GROUP BY h
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY row) AS pos
+  FROM (SELECT doc_id, row, line, len(regexp_extract_all(line, '{_WS}')) AS w FROM split) WHERE w > 0
+), reach AS (
+  SELECT doc_id, pos, list(line) OVER f AS x, list(w) OVER f AS ws, list(row) OVER f AS rows
+  FROM line WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {linededup.MIN_WORDS - 1} FOLLOWING)
+), run AS (
+  SELECT doc_id, pos, n, array_to_string(x[:n], chr(10)) AS g, rows[:n] AS rows
+  FROM (SELECT *, unnest(range(1, len(x) + 1)) AS n FROM reach) WHERE list_sum(ws[:n]) >= {linededup.MIN_WORDS}
 ), later AS (
-  SELECT p.doc_id, p.pos, f.doc_id AS fd, f.pos - p.pos AS shift
-  FROM prints p JOIN firsts USING (h) WHERE (p.doc_id, p.pos) > (f.doc_id, f.pos)
-), around AS (
-  SELECT l.doc_id, l.pos, l.row, l.h, l.w,
-         max(a.pos) OVER (PARTITION BY l.doc_id ORDER BY l.pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prev,
-         min(a.pos) OVER (PARTITION BY l.doc_id ORDER BY l.pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next
-  FROM line l LEFT JOIN later a ON a.doc_id = l.doc_id AND a.pos = l.pos
-), asked AS (
-  SELECT doc_id, pos, row, h, w, TRUE AS onward, prev AS anchor FROM around WHERE prev IS NOT NULL
-  UNION ALL SELECT doc_id, pos, row, h, w, FALSE, next FROM around WHERE next IS NOT NULL
-), equal AS (
-  SELECT q.*, t.h IS NOT NULL AND t.h = q.h AS same
-  FROM asked q JOIN later a ON a.doc_id = q.doc_id AND a.pos = q.anchor
-  LEFT JOIN line t ON t.doc_id = a.fd AND t.pos = q.pos + a.shift
-), chained AS (
-  SELECT *, bool_and(same) OVER (PARTITION BY doc_id, onward, anchor ORDER BY abs(pos - anchor) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS all_same
-  FROM equal
-), matched AS (
-  SELECT DISTINCT doc_id, pos, row, w FROM chained WHERE all_same
-), runs AS (
-  SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM matched
+  SELECT *, first_value(doc_id) OVER e AS fd, first_value(pos) OVER e AS fp FROM run WINDOW e AS (PARTITION BY g ORDER BY doc_id, pos)
 ), gone AS (
-  SELECT doc_id, row, w FROM (SELECT *, sum(w) OVER (PARTITION BY doc_id, run) AS size FROM runs) WHERE size >= {linededup.MIN_WORDS}
+  SELECT DISTINCT doc_id, unnest(rows) AS row FROM later WHERE doc_id > fd OR (doc_id = fd AND fp + n <= pos)
 ), kept AS (
   SELECT s.doc_id, string_agg(s.line, chr(10) ORDER BY s.row) AS text
   FROM split s ANTI JOIN gone g ON g.doc_id = s.doc_id AND g.row = s.row GROUP BY s.doc_id
 ), lost AS (
-  SELECT doc_id, count(*) AS n, sum(w) AS w FROM gone GROUP BY doc_id
+  SELECT doc_id, count(*) AS n, sum(w) AS w FROM gone JOIN line USING (doc_id, row) GROUP BY doc_id
 )
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text,
        coalesce(lost.n, 0)::BIGINT AS removed_lines, coalesce(lost.w, 0)::BIGINT AS removed_words

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 import public_tokenizers
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cuelake.llm import bpe, chat, decontaminate, linededup, lm, pii, quality, secretscan, simhash, tokenfile
@@ -81,45 +82,19 @@ def test_quality_awkward_and_clashing_names(spark):
 # --- line dedup ------------------------------------------------------------------------------------------
 
 def brute_lines(docs, need):
-    """docs: id -> text. What linededup keeps, by the definitions alone."""
-    lines = {}
-    for d, t in docs.items():
-        rows = [(i, x, len(x.split(" ")) - x.split(" ").count("")) for i, x in enumerate(t.split("\n"))]
-        lines[d] = [(i, hashlib.md5(x.encode()).hexdigest(), n) for i, x, n in rows if n]
-    prints = set()
+    """docs: id -> text. Every run of lines with words that has `need` words and an equal run before it goes."""
+    lines = {d: [(i, x, len(x.split())) for i, x in enumerate(t.split("\n")) if x.split()] for d, t in sorted(docs.items())}
+    places, gone = defaultdict(list), defaultdict(set)
     for d, ls in lines.items():
         for a in range(len(ls)):
-            total = 0
-            for b in range(a, len(ls)):
-                total += ls[b][2]
-                if total >= need:
-                    h, p = min((ls[k][1], k) for k in range(a, b + 1))
-                    prints.add((h, d, p))
-                    break
-    first = {}
-    for h, d, p in sorted(prints):
-        first.setdefault(h, (d, p))
-    out = {}
-    for d, t in docs.items():
-        ls = lines[d]
-        anchors = {p: first[h] for h, e, p in prints if e == d and first[h] != (d, p)}
-        hit = set()
-        for p, (fd, fp) in anchors.items():
-            for step in (1, -1):
-                q = p
-                while 0 <= q < len(ls) and 0 <= fp + q - p < len(lines[fd]) and lines[fd][fp + q - p][1] == ls[q][1] and (q == p or q not in anchors):
-                    hit.add(q)
-                    q += step
-        gone, run = set(), []
-        for q in range(len(ls) + 1):
-            if q in hit:
-                run.append(q)
-                continue
-            if sum(ls[k][2] for k in run) >= need:
-                gone |= {ls[k][0] for k in run}
-            run = []
-        out[d] = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
-    return out
+            for b in range(a + 1, len(ls) + 1):
+                if sum(n for _, _, n in ls[a:b]) >= need:
+                    places[tuple(x for _, x, _ in ls[a:b])].append((d, a, b))
+    for same in places.values():
+        for d, a, b in same:
+            if any(e < d or (e == d and q <= a) for e, _, q in same):
+                gone[d].update(i for i, _, _ in lines[d][a:b])
+    return {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in docs.items()}
 
 
 def test_line_dedup_matches_brute_force(spark):
@@ -130,6 +105,21 @@ def test_line_dedup_matches_brute_force(spark):
     assert got == brute_lines(docs, linededup.MIN_WORDS)
 
 
+def test_line_dedup_loses_no_run_behind_a_line_that_stands_alone_before(spark):
+    a, b, c = "one two three four five", "six seven eight nine ten", "un deux trois quatre cinq"
+    eight, short = "this line has eight words in all now", "and a tail"
+    texts = [f"{a}\n{c}", f"{a}\n{b}", f"{a}\n{b}", eight, f"{eight}\n{short}", f"{eight}\n{short}", "\n".join([b] * 5), "\n".join(["la la la la"] * 7)]
+    got = {r["doc_id"]: r["text"] for r in linededup.deduplicate(docs_of(spark, texts)).collect()}
+    assert got == brute_lines(dict(enumerate(texts)), linededup.MIN_WORDS)
+    assert got[2] == "" and got[4] == short and got[5] == ""
+
+
+def test_line_dedup_takes_texts_of_very_many_lines(spark):
+    text = "\n".join(f"line {i} of a very long text that goes on" if i % 3 else f"short {i}" for i in range(200_000))
+    got = {r["doc_id"]: (r["text"], r["n"]) for r in linededup.deduplicate(docs_of(spark, [text, text])).select("doc_id", "text", F.col("__removed_lines").alias("n")).collect()}
+    assert got == {0: (text, 0), 1: ("", 200_000)}
+
+
 def test_line_dedup_awkward(spark):
     odd = awkward(spark).selectExpr("*", "1 as d", "2 as k", "3 as pos", "4 as h")
     out = linededup.deduplicate(odd)
