@@ -181,7 +181,7 @@ def num1(spark, d):
     return D.segments(spark, d).select(*KEY, F.round(speed, 6).alias("speed"), (speed > T.MAX_SPEED).alias("fast"))
 
 
-@query("num2_coverage", sql("SELECT task_id, n, round(n / total, 6) AS coverage, n * 10 >= total * 8 AS passes, printf('%.1f%%', 100.0 * n / total) AS shown FROM (SELECT task_id, count(*) FILTER (idx % 5 <> 4) AS n, count(*) AS total FROM segments GROUP BY task_id)"))
+@query("num2_coverage", sql("SELECT task_id, n, round(n / total, 6) AS coverage, n * 10 >= total * 8 AS passes, printf('%.1f%%', floor(1000.0 * n / total + 0.5) / 10) AS shown FROM (SELECT task_id, count(*) FILTER (idx % 5 <> 4) AS n, count(*) AS total FROM segments GROUP BY task_id)"))
 def num2(spark, d):
     counts = D.segments(spark, d).groupBy("task_id").agg(F.count_if(F.col("idx") % 5 != 4).alias("n"), F.count("*").alias("total"))
     ratio = F.col("n") / F.col("total")

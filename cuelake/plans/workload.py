@@ -7,6 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: A cue: at most 24 characters that end where a word does, or a part of a longer word.
+CUE = "[^ ](?:.{0,22}[^ ])?(?: |$)|[^ ]{1,24}"
+
+
 def in_task():
     return W.partitionBy("task_id").orderBy("idx")
 
@@ -17,12 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One cue a conversation turn: (task_id, idx, segment_id, start_ms, end_ms, text)."""
-    turns = table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").alias("task_id"),
-        (F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) - 1).cast("long").alias("idx"),
-        F.trim(F.substring(F.regexp_replace("text", "\n", " "), 1, 24)).alias("text"),
+    """The cues of each conversation, which cover its turns' whole texts: (task_id, idx, segment_id, start_ms, end_ms, text).
+    A turn without text is an empty cue."""
+    flat = F.regexp_replace(F.coalesce("text", F.lit("")), "\n", " ")
+    pieces = F.transform(F.regexp_extract_all(flat, F.lit(f"({CUE})"), F.lit(1)), lambda p: F.trim(p))
+    cut = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("task_id"), "turn", F.posexplode(F.when(F.size(pieces) == 0, F.array(F.lit(""))).otherwise(pieces)).alias("piece", "text")
     )
+    order = W.partitionBy("task_id").orderBy("turn", "piece")
+    turns = cut.select("task_id", (F.row_number().over(order) - 1).cast("long").alias("idx"), "text")
     lasts = (800 + 60 * F.length("text")).cast("long")
     before = F.coalesce(F.sum(lasts).over(in_task().rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + 100 * F.col("idx")
     timed = turns.withColumn("start_ms", before.cast("long"))
@@ -87,9 +94,13 @@ def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same relations as common table expressions.
 SQL = """
-turns AS (
-  SELECT conv_id AS task_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS idx, trim(substring(replace(text, chr(10), ' '), 1, 24)) AS text
-  FROM conversations
+pieces AS (
+  SELECT conv_id, turn, regexp_extract_all(replace(coalesce(text, ''), chr(10), ' '), '""" + CUE + """') AS p FROM conversations
+), cut AS (
+  SELECT conv_id, turn, unnest(range(greatest(len(p), 1))) AS piece, unnest(CASE WHEN len(p) = 0 THEN [''] ELSE p END) AS text FROM pieces
+), turns AS (
+  SELECT conv_id AS task_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, piece) - 1)::BIGINT AS idx, trim(text) AS text
+  FROM cut
 ), timed AS (
   SELECT *, (coalesce(sum(800 + 60 * length(text)) OVER (PARTITION BY task_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 100 * idx)::BIGINT AS start_ms FROM turns
 ), segments AS (
