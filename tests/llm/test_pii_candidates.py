@@ -2,6 +2,8 @@
 
 import pytest
 
+import numpy as np
+
 from cuelake.llm import pii
 
 
@@ -32,3 +34,40 @@ def test_numbers_beside_each_other_are_found(detector):
     assert pii.search(two, detector)[1] and sorted(pii.search(two, detector)[1]) == [("phone", 5, 19), ("phone", 20, 34)]
     card = "pay with card 4111.1111.1111.1111 12/25 today"
     assert ("card", 14, 33) in pii.search(card, detector)[1]
+
+
+def brute_found(detector, text, base):
+    """The definition: likeliest first, each candidate that overlaps neither a base span nor a finding before it."""
+    apart = lambda c, d: c[2] <= d[1] or d[2] <= c[1]
+    proposed = [c for c in dict.fromkeys(pii.candidates(text)) if all(apart(c, b) for b in base)]
+    scores = detector.probabilities(np.array([pii.features(text, *c) for c in proposed], float).reshape(len(proposed), len(pii.FEATURES)))
+    out = []
+    for score, _, c in sorted((-s, k, c) for k, (s, c) in enumerate(zip(scores, proposed))):
+        if -score >= detector.thresholds[c[0]] and all(apart(c, d) for d in out):
+            out.append(c)
+    return out
+
+
+def test_findings_match_brute_force_and_ignore_other_text():
+    detector = pii.train()
+    texts = [". ".join(t) for t in zip(*(pii.cases(120, seed)[0] for seed in (3, 4, 5, 6)))]
+    texts += ["a@b.cc 212-555-1234 4111 1111 1111 1111 12/25 1.2.3.4 call (212) 555-9876, 646.555.1111", "", "7 8 9 " * 40]
+    for text in texts:
+        base = pii.base_spans(text)
+        found = detector.found(text, base)
+        assert found == brute_found(detector, text, base)
+        assert pii.search(text + "\n\n" + "antidote x" * 3, detector)[1] == found
+    for text in ("ping host dead:beef:cafe:babe:face:feed:abba:bead now", "write to john.doe (AT) example (Dot) com", "write to john.doe [At] example [DOT] org"):
+        assert len(detector.found(text, [])) == 1 and pii._SOME.search(text)
+
+
+def test_unseen_cases_are_settled_by_the_trees():
+    detector = pii.train()
+    texts, spans, truth = pii.cases(3_000, seed=99)
+    found = np.array([any(c == s for c in detector.found(t, [])) for t, s in zip(texts, spans)])
+    assert (found & truth).sum() / truth.sum() > 0.9 and (found & truth).sum() / found.sum() > 0.95
+
+
+def test_very_many_numbers_take_time_in_proportion():
+    detector, text = pii.train(), "call 212-555-1234, " * 20_000
+    assert len(detector.found(text, pii.base_spans(text))) == 20_000
