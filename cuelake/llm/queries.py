@@ -165,27 +165,32 @@ WITH src AS (
               WHEN regexp_full_match(b, '\p{{Lu}}\p{{Ll}}+') THEN 2 ELSE 0 END AS may
   FROM bare WINDOW t AS (PARTITION BY kind, id ORDER BY pos)
 ), canon AS (
-  SELECT kind, id, pos, low, CASE WHEN may = 2 AND opens THEN 0 WHEN may = 3 AND NOT after_number THEN 0 ELSE may END AS place FROM typed
+  SELECT kind, id, pos, low, form, CASE WHEN may = 2 AND (opens OR form = 1) THEN 0 WHEN may = 3 AND NOT after_number THEN 0 ELSE may END AS place
+  FROM typed, (SELECT unnest([0, 1]) AS form)
 ), windowed AS (
-  SELECT kind, id, pos, list(CASE WHEN place > 0 THEN '<' || place || '>' ELSE low END) OVER f AS g,
+  SELECT kind, id, form, pos, list(CASE WHEN place > 0 THEN '<' || place || '>' ELSE low END) OVER f AS g,
          list(CASE WHEN place > 0 THEN place || low END) OVER f AS s, count(*) OVER f AS n, sum(CASE WHEN place = 0 THEN 1 ELSE 0 END) OVER f AS free
-  FROM canon WINDOW f AS (PARTITION BY kind, id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {decontaminate.WINDOW - 1} FOLLOWING)
+  FROM canon WINDOW f AS (PARTITION BY kind, id, form ORDER BY pos ROWS BETWEEN CURRENT ROW AND {decontaminate.WINDOW - 1} FOLLOWING)
 ), w AS (
-  SELECT kind, id, pos, array_to_string(g, ' ') AS g, s FROM windowed WHERE n = {decontaminate.WINDOW} AND free >= {decontaminate.LITERALS}
+  SELECT kind, id, form, pos, array_to_string(g, ' ') AS g, s FROM windowed WHERE n = {decontaminate.WINDOW} AND free >= {decontaminate.LITERALS}
 ), item AS (
-  SELECT *, count(*) OVER (PARTITION BY id) AS n_windows FROM w WHERE kind = 1
+  SELECT *, count(*) OVER (PARTITION BY id, form) AS n_windows FROM w WHERE kind = 1
 ), pairs AS (
-  SELECT d.id AS doc_id, i.id AS item_id, n_windows, d.pos - i.pos AS shift, i.pos AS ipos, d.s AS ds, i.s AS ss
-  FROM w d JOIN item i ON d.g = i.g WHERE d.kind = 0
+  SELECT d.id AS doc_id, i.id AS item_id, form, n_windows, d.pos - i.pos AS shift, i.pos AS ipos, d.s AS ds, i.s AS ss
+  FROM (SELECT DISTINCT id, pos, g, s FROM w WHERE kind = 0) d JOIN item i ON d.g = i.g
 ), slots AS (
-  SELECT doc_id, item_id, shift, ss[k] AS sv, ds[k] AS dv FROM pairs, (SELECT unnest(range(1, {decontaminate.WINDOW} + 1)) AS k) WHERE ss[k] IS NOT NULL
+  SELECT doc_id, item_id, form, shift, ss[k] AS sv, ds[k] AS dv FROM pairs, (SELECT unnest(range(1, {decontaminate.WINDOW} + 1)) AS k) WHERE ss[k] IS NOT NULL
 ), torn AS (
-  SELECT DISTINCT doc_id, item_id, shift FROM (SELECT doc_id, item_id, shift, sv FROM slots GROUP BY ALL HAVING count(DISTINCT dv) > 1)
+  SELECT DISTINCT doc_id, item_id, form, shift FROM (SELECT doc_id, item_id, form, shift, sv FROM slots GROUP BY ALL HAVING count(DISTINCT dv) > 1)
 ), good AS (
-  SELECT * FROM pairs ANTI JOIN torn USING (doc_id, item_id, shift)
+  SELECT * FROM pairs ANTI JOIN torn USING (doc_id, item_id, form, shift)
 ), found AS (
-  SELECT doc_id, item_id FROM good GROUP BY doc_id, item_id, n_windows HAVING count(DISTINCT ipos) >= {decontaminate.SHARE} * n_windows
-  UNION SELECT doc_id, item_id FROM good GROUP BY doc_id, item_id, shift HAVING count(DISTINCT ipos) >= {decontaminate.RUN}
+  SELECT doc_id, item_id FROM good GROUP BY doc_id, item_id, form, n_windows HAVING count(DISTINCT ipos) >= {decontaminate.SHARE} * n_windows
+  UNION SELECT doc_id, item_id FROM good WHERE form = 0 GROUP BY doc_id, item_id, shift HAVING count(DISTINCT ipos) >= {decontaminate.RUN}
+  UNION SELECT doc_id, item_id FROM (
+    SELECT doc_id, item_id, shift, ipos, ipos - row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY ipos) AS island
+    FROM (SELECT DISTINCT doc_id, item_id, shift, ipos FROM good WHERE form = 1)
+  ) GROUP BY doc_id, item_id, shift, island HAVING count(*) >= {decontaminate.RUN}
 )
 SELECT doc_id, TRUE AS contaminated, count(*)::BIGINT AS n_items, list(item_id ORDER BY item_id) AS item_ids FROM found GROUP BY doc_id
 """

@@ -223,8 +223,68 @@ def test_reparameterised_questions_are_found(spark):
         None,
     ]
     got = {r["doc_id"]: r["item_ids"] for r in decontaminate.contaminated(docs_of(spark, docs), items_of(spark, [QUESTION, prose(rng, 30), QUESTION, None, "too short"])).collect()}
-    assert set(got) == {0, 1} and all(v == [0] for v in got.values()) or set(got) == {0, 1, 3} and got[1] == [0]
-    assert 2 not in got and 4 not in got
+    assert got == {0: [0], 1: [0], 3: [0]}
+
+
+def test_items_are_found_in_any_case(spark):
+    item = "Then Anna and Boris met Clara near Dover while Emil, Frida and Gustav saw Hanna with Ivan and Jonas before Karin and Lars left Malta at noon."
+    rng = random.Random(8)
+    copies = [item, item.lower(), item.upper(), item.title(), item.swapcase(), "".join(rng.choice([c.lower(), c.upper()]) for c in item)]
+    docs = [f"{prose(rng, 40)} {c} {prose(rng, 40)}" for c in copies] + [prose(rng, 120)]
+    got = {r["doc_id"] for r in decontaminate.contaminated(docs_of(spark, docs), items_of(spark, [item])).collect()}
+    assert got == set(range(len(copies)))
+
+
+def brute_matches(docs, items):
+    """All windows of all items against all of all documents, by the definitions: item -> found documents."""
+    from cuelake.llm.decontaminate import LITERALS, RUN, SHARE, WINDOW, code, template
+
+    class Codes(dict):
+        def __missing__(self, w):
+            return code(w)
+
+    def forms(text):
+        _, kind, own, words = template(text.encode(), Codes())
+        bare = [decontaminate._OUTER.sub("", w.decode()).lower() for w in words]
+        for names in (True, False):
+            places = [k if k and (names or k != 2) else 0 for k in kind.tolist()]
+            key = [f"<{p}>" if p else w for p, w in zip(places, bare)]
+            yield {i: (tuple(key[i : i + WINDOW]), [(p, w) for p, w in zip(places[i : i + WINDOW], bare[i : i + WINDOW]) if p]) for i in range(len(key) - WINDOW + 1) if places[i : i + WINDOW].count(0) >= LITERALS}
+
+    out = defaultdict(set)
+    for d, text in docs.items():
+        theirs = [(i, *w) for f in forms(text) for i, w in f.items()]
+        for k, item in items.items():
+            for second, own in enumerate(forms(item)):
+                aligned = defaultdict(list)
+                for q, (key, slots) in own.items():
+                    for p, other, values in theirs:
+                        if other == key:
+                            aligned[p - q].append((q, list(zip(slots, values))))
+                good = [{q for q, _ in v} for v in aligned.values() if len({a for _, s in v for a, _ in s}) == len({x for _, s in v for x in s})]
+                runs = [sum(all(q + j in g for j in range(RUN)) for q in g) if second else len(g) >= RUN for g in good]
+                if good and (len(set().union(*good)) >= SHARE * len(own) or any(runs)):
+                    out[k].add(d)
+    return dict(out)
+
+
+def test_decontamination_matches_brute_force(spark):
+    rng = random.Random(9)
+    names, frame = ["Tom", "Ann", "Bob"], "how many km are left when {n} has {a} km and {m} takes {b} of them on the way home"
+    items = [frame.format(n=rng.choice(names), m=rng.choice(names), a=rng.randint(2, 50), b=rng.randint(2, 9)) + " " + prose(rng, rng.randint(0, 8)) for _ in range(6)]
+    docs = []
+    for _ in range(60):
+        text = rng.choice(items).split()
+        for _ in range(rng.choice([0, 0, 1, 2, 4])):
+            text[rng.randrange(len(text))] = rng.choice([*names, *WORDS, "7", "km"])
+        a = rng.randint(0, len(text) // 2)
+        docs.append(f"{prose(rng, 12)} {' '.join(text[a:] if rng.random() < 0.5 else text)} {prose(rng, 5)}")
+    got = defaultdict(set)
+    for r in decontaminate.contaminated(docs_of(spark, docs), items_of(spark, items)).collect():
+        for k in r["item_ids"]:
+            got[k].add(r["doc_id"])
+    want = brute_matches(dict(enumerate(docs)), dict(enumerate(items)))
+    assert got == want and 10 < sum(map(len, want.values())) < 300
 
 
 def test_decontaminate_awkward(spark):
