@@ -69,13 +69,18 @@ def once_a_process(name: str, build):
 
 
 class Memo(dict):
-    """A dictionary that makes what it lacks, and starts anew at `limit` entries, so it stays bounded."""
+    """A dictionary that makes what it lacks, and starts anew at `limit` entries. Keys longer than `LONGEST` aren't
+    kept, so it stays bounded in bytes too."""
+
+    LONGEST = 200
 
     def __init__(self, make, limit: int):
         super().__init__()
         self.make, self.limit = make, limit
 
     def __missing__(self, key):
+        if len(key) > self.LONGEST:
+            return self.make(key)
         if len(self) >= self.limit:
             self.clear()
         value = self[key] = self.make(key)

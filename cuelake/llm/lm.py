@@ -3,18 +3,21 @@
 Every word of a text is hidden in turn and predicted from the `len(OFFSETS)` words around it, on both sides.
 A document's score is the sum of the log-probabilities of its words, each given all its neighbours.
 
-1. Words are counted over all documents, partly in the tasks, then by a shuffle. The `VOCABULARY` most frequent
-   ones get ids; any other word falls in one of `BUCKETS` buckets by its hash.
-2. Ids are split into `CLASSES` classes of like frequency. The network predicts the class: a position's
-   embeddings are added up, squashed and multiplied into class scores. Within a class a word has its share
-   of the class's count, within a bucket all words have the same share.
-3. Each task trains the network on all of its documents, from the same start. The networks, weighted by their
-   numbers of words, are averaged in a tree of tasks that each hold two of them at a time, so what is
-   gathered grows with the input but no task or driver holds it whole.
-4. The averaged network, a few MB for any input, is broadcast and scores every document.
-
-The same files and settings give the same scores; another split of the input into tasks trains another,
-equally valid network.
+1. Words are counted over all documents, partly in the tasks, then by a shuffle. The most frequent ones get
+   ids, as many as the root of the number of tokens, `MOST` at most; any other word falls in one of `BUCKETS` buckets
+   by its hash.
+2. Ids are split into `CLASSES` classes of like frequency, and each class into a Huffman tree of its words. A
+   position's embeddings are added up and squashed; from them the network predicts the class by a softmax, and the
+   word by a decision at each node of its path. Both depend on the context, and the probabilities of all ids add up
+   to 1. Within a bucket all words have the same share.
+3. There are `ROUNDS` rounds, each with its own part of the documents, all of them together with each document once.
+   In a round each task trains the network on its documents of that part. The networks, weighted by their numbers of
+   words, are averaged in a tree of tasks that each hold two of them at a time, so what is gathered grows with the
+   input but no task or driver holds it whole; the next round starts from the average.
+4. The averaged network is broadcast and scores every document. Its size is bounded by `MOST`.
+
+The same files and settings give the same scores. Another split of the input into tasks changes them little: the
+networks meet after each round.
 
 Defined cases: null text and texts without words have no tokens and score 0; repeated rows are scored each and
 count each in training; a null doc_id is carried through; an empty table gives an empty result.
@@ -22,6 +25,8 @@ count each in training; a null doc_id is carried through; an empty table gives a
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -34,31 +39,66 @@ from pyspark.sql import functions as F
 
 from cuelake.llm.common import Memo, materialize, once_a_process
 
-VOCABULARY, BUCKETS, CLASSES, HIDDEN = 4_096, 256, 48, 16
+LEAST, MOST, LONGEST, BUCKETS, CLASSES, HIDDEN, ROUNDS = 1_024, 65_536, 64, 256, 48, 16, 3
 OFFSETS, REACH = (-2, -1, 1, 2), 2
-#: The id beyond a text's ends.
-GAP = VOCABULARY + BUCKETS
-RATE, BATCH, SEED = 0.15, 2_048, 5
+RATE, BATCH, SEED = 0.15, 4_096, 5
 #: Tokens that are held in arrays at a time, words that a task counts or remembers, networks that meet in a task.
 CHUNK, WORDS_KEPT, FAN_IN = 100_000, 300_000, 32
 
 
 @dataclass
 class Words:
-    """What the counts say: ids of frequent words, each id's class and its log-probability within it."""
+    """What the counts say: ids of frequent words; each id's class, its path in the class's tree (nodes, and 1 or -1 for
+    the way taken), and the log of the share that one word has of it; the classes' and nodes' log-odds."""
 
     ids: dict[bytes, int]
     cls: np.ndarray
-    within: np.ndarray
+    share: np.ndarray
     prior: np.ndarray
+    path: np.ndarray
+    nodes: np.ndarray
+    ways: np.ndarray
+    odds: np.ndarray
 
     def parts(self) -> tuple:
         """As plain values: what is broadcast is read without this module."""
-        return self.ids, self.cls, self.within, self.prior
+        return self.ids, self.cls, self.share, self.prior, self.path, self.nodes, self.ways, self.odds
+
+    @property
+    def gap(self) -> int:
+        """The id beyond a text's ends; it has no path."""
+        return len(self.cls)
 
     def id_of(self, word: bytes) -> int:
         known = self.ids.get(word)
-        return VOCABULARY + xxhash.xxh32_intdigest(word) % BUCKETS if known is None else known
+        return len(self.cls) - BUCKETS + xxhash.xxh32_intdigest(word) % BUCKETS if known is None else known
+
+    def steps(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The nodes and ways on the paths of all targets, one after another, and which target each belongs to."""
+        start = self.path[target]
+        size = self.path[target + 1] - start
+        of = np.repeat(np.arange(len(target)), size)
+        at = np.arange(len(of)) + np.repeat(start - (np.cumsum(size) - size), size)
+        return self.nodes[at], self.ways[at], of
+
+
+def trees(n: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start of each id's path, and two more; nodes; ways; log-odds of each node) of a Huffman tree a class."""
+    odds: list[float] = []
+    paths: list[list[tuple[int, int]]] = [[] for _ in n]
+    for c in range(CLASSES):
+        heap = [(float(n[i]), int(i), [int(i)]) for i in np.flatnonzero(cls == c)]
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            (x, i, left), (y, j, right) = heapq.heappop(heap), heapq.heappop(heap)
+            for side, way in ((left, 1), (right, -1)):
+                for w in side:
+                    paths[w].append((len(odds), way))
+            odds.append(float(np.log(x / y)))
+            heapq.heappush(heap, (x + y, min(i, j), left + right))
+    flat = [s for p in paths for s in p]
+    start = np.concatenate(([0], np.cumsum([len(p) for p in paths]), [len(flat)]))
+    return start, np.array([s[0] for s in flat], np.int64), np.array([s[1] for s in flat], np.float32), np.array(odds, np.float32)
 
 
 def _count_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,15 +125,17 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def make_words(counts: DataFrame) -> Words:
-    """The vocabulary and its classes. What reaches the driver is bounded: VOCABULARY words and BUCKETS sums."""
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    chosen = {bytes(r["word"]): i for i, r in enumerate(top)}
-    n, distinct = np.zeros(VOCABULARY + BUCKETS), np.ones(VOCABULARY + BUCKETS)
-    n[: len(top)] = [r["n"] for r in top]
+    """The vocabulary, its classes and trees. What reaches the driver is bounded: MOST short words and BUCKETS sums."""
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    size = min(MOST, max(LEAST, math.isqrt(total)))
+    top = counts.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(size).collect()
+    chosen, size = {bytes(r["word"]): i for i, r in enumerate(top)}, len(top)
+    n, distinct = np.zeros(size + BUCKETS), np.ones(size + BUCKETS)
+    n[:size] = [r["n"] for r in top]
     for r in counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
-        n[VOCABULARY + r["bucket"]], distinct[VOCABULARY + r["bucket"]] = r["n"], r["words"]
+        n[size + r["bucket"]], distinct[size + r["bucket"]] = r["n"], r["words"]
     for word, i in chosen.items():  # a bucket holds what the vocabulary doesn't
-        bucket = VOCABULARY + xxhash.xxh32_intdigest(word) % BUCKETS
+        bucket = size + xxhash.xxh32_intdigest(word) % BUCKETS
         n[bucket] -= n[i]
         distinct[bucket] -= 1
     n, distinct = n + 1, np.maximum(distinct, 1)
@@ -102,25 +144,29 @@ def make_words(counts: DataFrame) -> Words:
     cls = np.empty(len(n), np.int64)
     cls[order] = np.minimum((CLASSES * (mass - np.sqrt(n[order]) / 2) / mass[-1]).astype(np.int64), CLASSES - 1)
     total = np.bincount(cls, n, CLASSES)
-    return Words(chosen, cls, np.log(n / total[cls]) - np.log(distinct), np.log(np.maximum(total, 1) / total.sum()))
+    return Words(chosen, cls, -np.log(distinct), np.log(np.maximum(total, 1e-9) / total.sum()), *trees(n, cls))
 
 
 class Network:
     """One float32 vector of parameters, and views of it. An id's row holds its embedding for each offset, side by side."""
 
-    def __init__(self, flat: np.ndarray):
-        ids = VOCABULARY + BUCKETS + 1  # the last is beyond the text's ends
-        sizes = [ids * len(OFFSETS) * HIDDEN, HIDDEN * CLASSES, CLASSES]
+    def __init__(self, flat: np.ndarray, ids: int, nodes: int):
+        sizes = [(ids + 1) * len(OFFSETS) * HIDDEN, HIDDEN * CLASSES, CLASSES, nodes * HIDDEN, nodes]  # one more row, for what is beyond the ends
         self.flat = flat
-        a, b, c = np.split(flat, np.cumsum(sizes)[:-1])
-        self.inputs, self.output, self.bias = a.reshape(ids, -1), b.reshape(HIDDEN, CLASSES), c
+        a, b, self.bias, c, self.odds = np.split(flat, np.cumsum(sizes)[:-1])
+        self.inputs, self.output, self.nodes = a.reshape(ids + 1, -1), b.reshape(HIDDEN, CLASSES), c.reshape(nodes, HIDDEN)
+
+    @staticmethod
+    def of(flat: np.ndarray, words: Words) -> Network:
+        return Network(flat, len(words.cls), len(words.odds))
 
     @staticmethod
     def start(words: Words) -> Network:
-        """Small random weights, and the classes' own frequencies as bias: at first every word has its unigram probability."""
+        """Small random weights, and the frequencies as biases: at first every word has its unigram probability."""
         rng = np.random.default_rng(SEED)
-        size = (VOCABULARY + BUCKETS + 1) * len(OFFSETS) * HIDDEN + HIDDEN * CLASSES
-        return Network(np.concatenate((rng.normal(0, 0.1, size), words.prior)).astype(np.float32))
+        size = (len(words.cls) + 1) * len(OFFSETS) * HIDDEN + HIDDEN * CLASSES
+        nodes = np.zeros(len(words.odds) * HIDDEN)
+        return Network.of(np.concatenate((rng.normal(0, 0.1, size), words.prior, nodes, words.odds)).astype(np.float32), words)
 
     def forward(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hidden values and log-probabilities of the classes at each place, but for `REACH` places at both ends."""
@@ -131,35 +177,57 @@ class Network:
         np.tanh(hidden, out=hidden)
         z = hidden @ self.output
         z += self.bias
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))  # scores are small: no overflow
+        z -= z.max(axis=1, keepdims=True)
+        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
         return hidden, z
 
+    def decide(self, hidden: np.ndarray, nodes: np.ndarray, ways: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(weights of the nodes, how clearly each decision falls for the way taken)."""
+        own = self.nodes[nodes]
+        return own, ways * (np.einsum("ij,ij->i", hidden[of], own) + self.odds[nodes])
+
+
+def _by_row(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, and the sums of their gradients."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+    return rows[first], np.add.reduceat(grad[order], first, axis=0)
+
 
 class Trainer:
-    """Adagrad with one rate a row of embeddings."""
+    """Adagrad with one rate a row of embeddings or a node."""
 
-    def __init__(self, net: Network):
-        self.net = net
-        self.seen = np.ones(len(net.inputs), np.float32)
+    def __init__(self, net: Network, words: Words):
+        self.net, self.words = net, words
+        self.seen, self.seen_nodes = np.ones(len(net.inputs), np.float32), np.ones(len(net.nodes), np.float32)
         self.seen_output, self.seen_bias = np.ones_like(net.output), np.ones_like(net.bias)
 
     def step(self, ids: np.ndarray, target: np.ndarray) -> None:
-        """ids: with `REACH` more on both sides; target: the classes between, -1 at gaps."""
-        net, n = self.net, len(target)
+        """ids: with `REACH` more on both sides; target: the ids between."""
+        net, n, at_gap = self.net, len(target), target == self.words.gap
         hidden, z = net.forward(ids)
         error = np.exp(z, out=z)
-        error[np.arange(n), target] -= 1  # at gaps this hits the last class, and the next line clears it
-        error[target < 0] = 0
+        error[np.arange(n), np.append(self.words.cls, 0)[target]] -= 1
+        error[at_gap] = 0
         back = error @ net.output.T
+        nodes, ways, of = self.words.steps(target)
+        if len(nodes):
+            own, clear = net.decide(hidden, nodes, ways, of)
+            slope = -ways / (1 + np.exp(np.minimum(clear, 40)))
+            first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            back[of[first]] += np.add.reduceat(slope[:, None] * own, first, axis=0)
+            rows, grad = _by_row(nodes, slope[:, None] * np.concatenate((hidden[of], np.ones((len(of), 1), np.float32)), axis=1))
+            self.seen_nodes[rows] += np.einsum("ij,ij->i", grad, grad) / grad.shape[1]
+            grad *= (RATE / np.sqrt(self.seen_nodes[rows]))[:, None]
+            net.nodes[rows] -= grad[:, :-1]
+            net.odds[rows] -= grad[:, -1]
         back *= 1 - hidden * hidden
         # the word at a place is a neighbour of the places around it, once for each offset
         grad = np.zeros((len(ids), len(OFFSETS) * HIDDEN), np.float32)
         for k, o in enumerate(OFFSETS):
             grad[REACH + o : REACH + o + n, k * HIDDEN : (k + 1) * HIDDEN] = back
-        order = np.argsort(ids, kind="stable")
-        sorted_ids = ids[order]
-        first = np.flatnonzero(np.concatenate(([True], sorted_ids[1:] != sorted_ids[:-1])))
-        grad, rows = np.add.reduceat(grad[order], first, axis=0), sorted_ids[first]
+        rows, grad = _by_row(ids, grad)
         self.seen[rows] += np.einsum("ij,ij->i", grad, grad) / grad.shape[1]
         net.inputs[rows] -= RATE * grad / np.sqrt(self.seen[rows])[:, None]
         grad = hidden.T @ error
@@ -172,7 +240,8 @@ class Trainer:
 
 def _tokens(texts: Iterable, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(ids, start of each text among them, number of its tokens) of some texts at a time, with `REACH` gaps around each; a very long text comes whole."""
-    known, gap = once_a_process(f"lm words {len(words.ids)} {words.prior.tobytes()!r}", lambda: Memo(words.id_of, WORDS_KEPT)), np.full(REACH, GAP, np.int16)
+    mark = xxhash.xxh64_hexdigest(b"\0".join([*words.ids, words.prior.tobytes()]))
+    known, gap = once_a_process(f"lm words {mark}", lambda: Memo(words.id_of, WORDS_KEPT)), np.full(REACH, words.gap, np.int32)
     parts, counts, size = [gap], [], 0
 
     def out() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,7 +250,7 @@ def _tokens(texts: Iterable, words: Words) -> Iterator[tuple[np.ndarray, np.ndar
 
     for text in texts:
         tokens = (text.as_py() or b"").lower().split()
-        parts += [np.fromiter(map(known.__getitem__, tokens), np.int16, len(tokens)), gap]
+        parts += [np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens)), gap]
         counts.append(len(tokens))
         size += len(tokens)
         if size >= CHUNK:
@@ -197,17 +266,16 @@ def _slices(ids: np.ndarray) -> Iterator[tuple[int, int]]:
         yield a, min(a + BATCH, len(ids) - REACH)
 
 
-def _train_batches(words):
+def _train_batches(words, flat):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words(*words.value)
-        net = Network.start(known)
-        trainer, n = Trainer(net), 0
-        classes = np.append(known.cls, -1)
+        net = Network.of(flat.value.copy(), known)
+        trainer, n = Trainer(net, known), 0
         texts = (t for batch in batches for t in batch.column(0).cast(pa.binary()))
         for ids, _, sizes in _tokens(texts, known):
             n += int(sizes.sum())
             for a, b in _slices(ids):
-                trainer.step(ids[a - REACH : b + REACH], classes[ids[a:b]])
+                trainer.step(ids[a - REACH : b + REACH], ids[a:b])
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([net.flat.tobytes()], pa.binary())], ["weight", "net"])
 
@@ -225,32 +293,44 @@ def _mean_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([weight], pa.int64()), pa.array([mean.astype(np.float32).tobytes()], pa.binary())], ["weight", "net"])
 
 
-def train(docs: DataFrame, words: Words) -> Network:
-    """The average of the networks that each task trains on all its documents."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(words.parts())
-    nets = materialize(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_train_batches(shared), "weight long, net binary"), "lm-networks")
+def _mean(nets: DataFrame) -> np.ndarray | None:
+    """The average of networks, made in a tree of tasks."""
     left = nets.count()
     while left > 1:
         left = -(-left // FAN_IN)
         nets = materialize(nets.repartition(left).mapInArrow(_mean_batches, "weight long, net binary"), "lm-networks")
     row = nets.first()
-    return Network(np.frombuffer(row["net"], np.float32).copy()) if row else Network.start(words)
+    return np.frombuffer(row["net"], np.float32).copy() if row else None
+
+
+def train(docs: DataFrame, words: Words, rounds: int = ROUNDS) -> Network:
+    """The average of the networks that the tasks train, after all rounds."""
+    context = docs.sparkSession.sparkContext
+    shared, net = context.broadcast(words.parts()), Network.start(words)
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    for k in range(rounds):
+        part = texts.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k)
+        flat = _mean(materialize(part.mapInArrow(_train_batches(shared, context.broadcast(net.flat)), "weight long, net binary"), "lm-networks"))
+        net = net if flat is None else Network.of(flat, words)
+    return net
 
 
 def _score_batches(words, flat):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, known = Network(flat.value), Words(*words.value)
-        classes, within = np.append(known.cls, 0), np.append(known.within, 0.0)
+        known = Words(*words.value)
+        net, classes, share = Network.of(flat.value, known), np.append(known.cls, 0), np.append(known.share, 0.0)
         for batch in batches:
             sums, counts = [], []
             for ids, starts, sizes in _tokens(batch.column(1).cast(pa.binary()), known):
                 logs = np.zeros(len(ids))
                 for a, b in _slices(ids):
-                    _, z = net.forward(ids[a - REACH : b + REACH])
-                    logs[a:b] = z[np.arange(b - a), classes[ids[a:b]]]
-                logs += within[ids]
-                logs[ids == GAP] = 0
+                    target = ids[a:b]
+                    hidden, z = net.forward(ids[a - REACH : b + REACH])
+                    nodes, ways, of = known.steps(target)
+                    clear = net.decide(hidden, nodes, ways, of)[1]
+                    logs[a:b] = z[np.arange(b - a), classes[target]] - np.bincount(of, np.logaddexp(0, -clear), b - a)
+                logs += share[ids]
+                logs[ids == known.gap] = 0
                 total = np.concatenate(([0.0], np.cumsum(logs)))
                 sums += (total[starts + sizes] - total[starts]).tolist()
                 counts += sizes.tolist()

@@ -446,16 +446,46 @@ def test_lm_learns_both_sides_and_scores_by_definition(spark):
     # one text, a word at a time
     text = "red green blue one unheard"
     ids = [words.id_of(w.encode()) for w in text.split()]
-    padded = [lm.GAP] * 2 + ids + [lm.GAP] * 2
+    padded = [words.gap] * 2 + ids + [words.gap] * 2
     total = 0.0
     for i, w in enumerate(ids):
         x = sum(net.inputs[padded[i + 2 + o]].reshape(4, -1)[k] for k, o in enumerate(lm.OFFSETS))
-        z = np.tanh(x) @ net.output + net.bias
-        total += float(z[words.cls[w]] - np.log(np.exp(z).sum()) + words.within[w])
+        h = np.tanh(x)
+        z = h @ net.output + net.bias
+        total += z[words.cls[w]] - np.log(np.exp(z).sum()) + words.share[w]
+        for k in range(words.path[w], words.path[w + 1]):
+            total -= np.log1p(np.exp(-words.ways[k] * (h @ net.nodes[words.nodes[k]] + net.odds[words.nodes[k]])))
     row = lm.score(docs_of(spark, [text]), words, net).first()
     assert row["n_tokens"] == 5 and abs(row["log_likelihood"] - total) < 1e-3
 
 
+def test_lm_probabilities_add_up_and_begin_as_unigrams(spark):
+    words, net = lm.fit(docs_of(spark, [prose(random.Random(k), 200) for k in range(5)]))
+    start, everyone = lm.Network.start(words), np.arange(len(words.cls))
+    for n, hidden in ((net, np.full((1, lm.HIDDEN), 0.3, np.float32)), (start, np.zeros((1, lm.HIDDEN), np.float32))):
+        z = (hidden @ n.output + n.bias)[0]
+        logs = (z - np.log(np.exp(z).sum()))[words.cls]
+        nodes, ways, of = words.steps(everyone)
+        logs = logs - np.bincount(of, np.logaddexp(0, -n.decide(np.repeat(hidden, len(everyone), axis=0), nodes, ways, of)[1]), len(everyone))
+        assert abs(np.exp(logs).sum() - 1) < 1e-4
+
+
+def test_lm_tells_a_word_from_another_of_its_class(spark):
+    """Held out: two words of one frequency, each with neighbours of its own."""
+    rng = random.Random(4)
+    text = lambda: " ".join(rng.choice(["the red cat sat down", "a blue dog ran off"]) for _ in range(100))
+    words, net = lm.fit(docs_of(spark, [text() for _ in range(40)]))
+    own, other = "the red cat sat down " * 20, "the red dog sat down " * 20
+    got = {r["doc_id"]: r["per_token"] for r in lm.score(docs_of(spark, [own, other]), words, net).collect()}
+    assert got[0] > got[1] + 0.5
+
+
+def test_lm_depends_little_on_the_split(spark):
+    docs = docs_of(spark, [prose(random.Random(k), 300) for k in range(48)])
+    few, many = ({r["doc_id"]: r["per_token"] for r in lm.score(docs, *lm.fit(docs.repartition(n, "doc_id"))).collect()} for n in (2, 6))
+    assert max(abs(few[i] - many[i]) for i in few) < 0.1 * abs(np.mean(list(few.values())))
+
+
 def test_lm_awkward(spark):
     odd = awkward(spark).selectExpr("*", "1 as n", "2 as word", "3 as net")
     words, net = lm.fit(odd)
