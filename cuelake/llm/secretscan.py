@@ -12,7 +12,8 @@ them in numpy on the driver.
 
 Defined cases: null text has no candidates; runs are found whole, whatever their length; a repeated row
 gives its findings again; a null doc_id is carried through; an empty table gives an empty result.
-Starts count code points.
+Starts count code points. A candidate has a digit and no dot: words alone, and keys shorter than `SHORTEST`, are outside
+what this operator looks for; of a token with dots, each part of that length is a candidate.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from cuelake.llm import trees
 
-SHORTEST, CONTEXT, FINDINGS, TREES, DEPTH, SEED = 16, 24, 3_000, 15, 6, 11
+SHORTEST, CONTEXT, FINDINGS, TREES, DEPTH, SEED, BLOCK = 16, 24, 3_000, 15, 6, 11, 512
 CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{%d,}={0,2}" % SHORTEST
 #: Words that cover parts of names rather than of keys; fixed values.
 COMMON = (
@@ -51,26 +52,40 @@ def _apart(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
 
 
+def _starts(df: DataFrame) -> DataFrame:
+    """Replace `sizes` by `starts`: where each candidate begins. Sums run in blocks and over the blocks, since an array is
+    copied for each element that a fold appends to it."""
+
+    def fold(sizes: Column, base: Column) -> Column:
+        state = F.struct(base.alias("at"), F.array().cast("array<bigint>").alias("starts"))
+        step = lambda acc, x: F.struct((acc["at"] + x["gap"] + x["own"]).alias("at"), F.array_append(acc["starts"], acc["at"] + x["gap"]).alias("starts"))
+        return F.aggregate(sizes, state, step, lambda acc: acc["starts"])
+
+    none = F.lit(0).cast("long")
+    blocks = F.transform(F.sequence(F.lit(1), F.size("sizes"), F.lit(BLOCK)), lambda k: F.slice("sizes", k, BLOCK))
+    df = _apart(df, blocks=blocks).drop("sizes")
+    whole = F.transform("blocks", lambda b: F.struct(none.alias("gap"), F.aggregate(b, none, lambda n, x: n + x["gap"] + x["own"]).alias("own")))
+    df = _apart(df, bases=fold(whole, none))
+    return _apart(df, starts=F.flatten(F.transform("blocks", lambda b, i: fold(b, F.get("bases", i))))).drop("blocks", "bases")
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, start, value, before, after) of each candidate, with up to `CONTEXT` characters on each side."""
     found = docs.select("doc_id", F.col("text").cast("string").alias("t")).where(F.col("t").rlike(CANDIDATE))
     found = _apart(found, c=F.regexp_extract_all("t", F.lit(f"({CANDIDATE})"), F.lit(1)), gaps=F.split("t", CANDIDATE, -1)).drop("t")
-    # a candidate starts after all gaps up to it and all candidates before it: running sums, once a text
-    ends = F.aggregate(
-        F.transform("c", lambda x, i: F.struct(F.length(F.get("gaps", i)).cast("long").alias("gap"), F.length(x).cast("long").alias("own"))),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts")),
-        lambda acc, x: F.struct((acc["at"] + x["gap"] + x["own"]).alias("at"), F.array_append(acc["starts"], acc["at"] + x["gap"]).alias("starts")),
-        lambda acc: acc["starts"],
-    )
-    rows = _apart(found, starts=ends).select("doc_id", "c", "gaps", "starts", F.posexplode("c").alias("i", "value"))
-    previous = F.when(F.col("i") > 0, F.get("c", F.col("i") - 1)).otherwise("")
-    return rows.select(
-        "doc_id",
-        F.get("starts", F.col("i")).alias("start"),
-        "value",
-        F.right(F.concat(previous, F.get("gaps", F.col("i"))), F.lit(CONTEXT)).alias("before"),
-        F.left(F.get("gaps", F.col("i") + 1), F.lit(CONTEXT)).alias("after"),
-    )
+    # a candidate starts after all gaps up to it and all candidates before it
+    sizes = F.transform("c", lambda x, i: F.struct(F.length(F.get("gaps", i)).cast("long").alias("gap"), F.length(x).cast("long").alias("own")))
+    found = _starts(_apart(found, sizes=sizes))
+    # whole structs are exploded: a row of its own that still held the text's arrays would copy them for each candidate
+
+    def row(x: Column, i: Column) -> Column:
+        previous = F.when(i > 0, F.get("c", i - 1)).otherwise("")
+        return F.struct(
+            F.get("starts", i).alias("start"), x.alias("value"), F.right(F.concat(previous, F.get("gaps", i)), F.lit(CONTEXT)).alias("before"),
+            F.left(F.get("gaps", i + 1), F.lit(CONTEXT)).alias("after"),
+        )
+
+    return _apart(found, rows=F.transform("c", row)).select("doc_id", "rows").select("doc_id", F.inline("rows"))
 
 
 def _share(pattern: str) -> Column:
