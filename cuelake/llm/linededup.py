@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from cuelake.llm.common import WORD, materialize
 
-MIN_WORDS = 8
+MIN_WORDS, HEAVY = 8, 1_000
 
 
 def _apart(df: DataFrame, **columns: Column) -> DataFrame:
@@ -91,11 +91,16 @@ def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(d, k, row) of every line to delete; a line may come several times."""
-    every = materialize(windows(docs, min_words), "line-windows")
+    every, key = materialize(windows(docs, min_words), "line-windows"), ["print", "sides"]
     place = F.struct("d", "k", "pos")
-    first = every.groupBy("print", "sides").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").drop("last")
+    first = every.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
+    first = materialize(first, "line-firsts")
+    # fewer than HEAVY windows can each be more than one in HEAVY: they are broadcast, so no task gets all of one
+    frequent = F.col("n") * HEAVY > every.count()
+    heavy, light = first.where(frequent).drop("n"), first.where(~frequent).drop("n")
+    met = every.join(F.broadcast(heavy), key).unionByName(every.join(F.broadcast(heavy.select(*key)), key, "left_anti").join(light, key))
     apart = (F.col("d") != F.col("first.d")) | (F.col("k") != F.col("first.k")) | (F.col("first.pos") + F.size("rows") <= F.col("pos"))
-    return every.join(first, ["print", "sides"]).where((place > F.col("first")) & apart).select("d", "k", F.explode("rows").alias("row"))
+    return met.where((place > F.col("first")) & apart).select("d", "k", F.explode("rows").alias("row"))
 
 
 def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
