@@ -79,7 +79,7 @@ class Memo(dict):
         self.make, self.limit = make, limit
 
     def __missing__(self, key):
-        if len(key) > self.LONGEST:
+        if isinstance(key, str | bytes) and len(key) > self.LONGEST:
             return self.make(key)
         if len(self) >= self.limit:
             self.clear()

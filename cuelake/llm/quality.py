@@ -4,9 +4,8 @@
 A policy is a version and the rules it enforces; applying one, or asking what a rule alone costs
 (`ablations`), is bitwise arithmetic on the stored bits: the texts aren't read again.
 
-Repeated windows are found inside a row, without a shuffle: each three-word window is hashed, the hash's
-high bits and the window's position are packed into one long, the longs are sorted, and neighbours with
-equal high bits and equal whole hashes are repeats. The work is n log n in a text's words.
+Repeated windows are found inside a row, without a shuffle: each three-word window is hashed, hashes and
+positions are sorted, and neighbours with equal hashes are repeats. The work is n log n in a text's words.
 
 Defined cases: null text has no words, so fails the base rules; repeated rows are judged each on its own;
 an empty table gives an empty result; a null doc_id is carried through.
@@ -55,8 +54,6 @@ def measures(docs: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size("w").cast("long").alias("n_words"),
         F.length(F.concat_ws("", "w")).cast("long").alias("word_chars"),
-        # the lowest power of two above the number of words: positions fit below it
-        F.expr("shiftleft(-1L, length(bin(size(w))))").alias("high"),
         F.when(
             F.size("w") >= WINDOW,
             F.transform(
@@ -67,20 +64,16 @@ def measures(docs: DataFrame) -> DataFrame:
         .otherwise(F.array().cast("array<bigint>"))
         .alias("h"),
     )
-    df = _apart(df, h_=F.col("h"), high_=F.coalesce("high", F.lit(0).cast("long"))).drop("h", "high")
-    packed = F.transform("h_", lambda x, i: x.bitwiseAND(F.col("high_")).bitwiseOR(i.cast("long")))
+    df = _apart(df, h_=F.col("h")).drop("h")
+    placed = F.transform("h_", lambda x, i: F.struct(x.alias("h"), i.alias("at")))
     # most texts without any repeat end here
-    df = _apart(df, s=F.when(F.size(F.array_distinct("h_")) < F.size("h_"), F.sort_array(packed)))
+    df = _apart(df, s=F.when(F.size(F.array_distinct("h_")) < F.size("h_"), F.sort_array(placed)))
 
-    def place(x: Column) -> Column:
-        return x.bitwiseAND(F.bitwise_not(F.col("high_"))).cast("int")
+    def same(x: Column, k: Column) -> Column:
+        return F.coalesce(x["h"] == F.get("s", k)["h"], F.lit(False))
 
-    def same(x: Column, y: Column) -> Column:
-        equal = (x.bitwiseXOR(y).bitwiseAND(F.col("high_")) == 0) & (F.get("h_", place(x)) == F.get("h_", place(y)))
-        return F.coalesce(equal, F.lit(False))
-
-    repeats = F.filter("s", lambda x, k: same(x, F.get("s", k + 1)) | same(x, F.get("s", k - 1)))
-    covered = F.flatten(F.transform(repeats, lambda x: F.array(*[place(x) + k for k in range(WINDOW)])))
+    repeats = F.filter("s", lambda x, k: same(x, k + 1) | same(x, k - 1))
+    covered = F.flatten(F.transform(repeats, lambda x: F.array(*[x["at"] + k for k in range(WINDOW)])))
     return df.select(
         "doc_id",
         "n_words",

@@ -138,6 +138,7 @@ def write(docs: DataFrame, tokenizer: str, path: str) -> str:
     tokens = ordered.mapInArrow(_encode_batches(file), "doc_id long, file_start long, n_tokens long, tokens array<int>")
     (
         tokens.write.option("compression", "zstd")
+        .option("maxRecordsPerFile", 0)  # a file a task, so that positions run on through it
         .option("parquet.writer.version", "PARQUET_2_0")
         .option("parquet.block.size", ROW_GROUP)
         .option("parquet.page.size", PAGE)
@@ -150,7 +151,7 @@ def write(docs: DataFrame, tokenizer: str, path: str) -> str:
     per_file = (
         _tokens(spark, path).groupBy("file").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
     )
-    before = F.coalesce(F.sum("n_tokens").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    before = F.coalesce(F.sum("n_tokens").over(W.orderBy(F.regexp_extract("file", "^part-([0-9]+)", 1).cast("long"), "file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
     per_file.withColumn("before", before).write.parquet(f"{path}/files")  # one row a file
     return path
 

@@ -431,6 +431,19 @@ def test_secrets_hold_out(spark):
     assert [r["start"] for r in secretscan.scan(docs_of(spark, [twice]), forest).orderBy("start").collect()] == [9, 60]
 
 
+def test_token_files_ignore_the_limit_of_records_a_file(spark):
+    docs = docs_of(spark, ["alpha beta"] * 12)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 3)
+    try:
+        rows = tokenfile.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json")).orderBy("doc_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    starts = [0]
+    for r in rows[:-1]:
+        starts.append(starts[-1] + r["n_tokens"])
+    assert [r["start"] for r in rows] == starts
+
+
 # --- language model --------------------------------------------------------------------------------------
 
 def test_lm_learns_both_sides_and_scores_by_definition(spark):
