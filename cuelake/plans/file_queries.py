@@ -19,7 +19,7 @@ from cuelake.plans.text_queries import COUNT, MATCH
 from cuelake.plans.workload import sql
 from cuelake.sources import mp3
 from cuelake.sources import subtitles as S
-from cuelake.sources.storage import fresh
+from cuelake.sources.storage import fresh, put
 
 KEY = ("task_id", "idx")
 
@@ -42,8 +42,13 @@ def _frames(n: int, padding: int = 0) -> bytes:
 
 
 def _audio(spark):
-    rows = [("two", _frames(2)), ("many", _frames(50)), ("tagged", b"ID3" + bytes([3, 0, 0, 0, 0, 0, 10]) + bytes(10) + _frames(3, 1)), ("noise", b"not audio at all")]
-    return spark.createDataFrame(rows, "path string, content binary")
+    """Audio files of each kind, read with the binaryFile source; `path` is the name."""
+    folder = fresh(spark, "audio")
+    kinds = {"two": _frames(2), "many": _frames(50), "tagged": b"ID3" + bytes([3, 0, 0, 0, 0, 0, 10]) + bytes(10) + _frames(3, 1), "noise": b"not audio at all"}
+    for name, data in kinds.items():
+        put(spark, f"{folder}/{name}.mp3", data)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.mp3").load(folder)
+    return files.select(F.regexp_extract("path", "([a-z]+)[.]mp3$", 1).alias("path"), "content")
 
 
 @query("src10_mp3_durations", "SELECT * FROM (VALUES ('two', TRUE, 52::BIGINT), ('many', TRUE, 1306::BIGINT), ('tagged', TRUE, 78::BIGINT), ('noise', FALSE, NULL)) v(path, mp3, duration_ms)")

@@ -117,8 +117,12 @@ def test_finished_file_is_checked(spark):
 
 def test_mp3_frames_and_chunks():
     frame = bytes([0xFF, 0xFB, 0x90, 0x64]) + bytes(413)
-    assert mp3.frame_at(frame, 0)[0] == 417 and mp3.duration_ms(frame * 2) == 52 and mp3.duration_ms(b"no") is None
-    assert len(mp3.frames(frame * 3)) == 3
+    assert mp3.frames(frame)[0][:2] == (0, 417) and mp3.duration_ms(frame * 2) == 52 and mp3.duration_ms(b"no") is None
+    assert len(mp3.frames(frame * 3)) == 3 and len(mp3.frames(frame * 3 + b"TAG" + bytes(125))) == 3
+    # 384 samples at 32 kHz and 32 kbit/s are 12 ms and 48 bytes; 576 at 22,050 Hz and 8 kbit/s are 26 bytes
+    assert mp3.frames((bytes([0xFF, 0xFF, 0x18, 0]) + bytes(44)) * 2) == [(0, 48, 12.0), (48, 96, 12.0)]
+    assert [f[1] for f in mp3.frames((bytes([0xFF, 0xF3, 0x10, 0]) + bytes(22)) * 2)] == [26, 52]
+    assert mp3.duration_ms(b"\xff\xfb" + b"junk" + frame * 4 + b"end") == 104
     with pytest.raises(ValueError):
         mp3.frames(b"noise")
     rng = random.Random(2)
