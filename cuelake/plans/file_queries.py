@@ -15,7 +15,7 @@ from cuelake.plans import workload as D
 from cuelake.plans.process_queries import _aligned
 from cuelake.plans.registry import query
 from cuelake.plans.source_queries import _SRT, STAMP
-from cuelake.plans.text_queries import COUNT, MATCH
+from cuelake.plans.text_queries import CELL, COUNT, MATCH, SECRET
 from cuelake.plans.workload import sql
 from cuelake.sources import mp3
 from cuelake.sources import subtitles as S
@@ -128,22 +128,21 @@ def src25(spark, d):
     return D.table(spark, d, "events").select("event_id", V.over_budget(raw).alias("problem"))
 
 
-@query("snk1_validated_srt", sql(f"SELECT task_id AS key, {_SRT} AS source FROM segments GROUP BY task_id HAVING max({COUNT.format('text')}) <= 18"))
+@query("snk1_validated_srt", sql(f"SELECT task_id AS key, {_SRT} AS source FROM segments GROUP BY task_id"))
 def snk1(spark, d):
-    """Wrapped at 18 characters; one newline at the end. Files whose cues all fit a line are compared."""
-    fit = D.segments(spark, d).groupBy("task_id").agg(F.max(T.characters(F.col("text"))).alias("most")).where("most <= 18").select("task_id")
+    """Wrapped at 18 characters (none of these cues has more, as a Latin word counts as one); one newline at the end."""
     wrapped = D.segments(spark, d).withColumn("text", F.array_join(V.wrapped(F.col("text")), "\n"))
-    return S.write_srt(wrapped, final_blank=False).join(fit.withColumnRenamed("task_id", "key"), "key", "left_semi")
+    return S.write_srt(wrapped, final_blank=False)
 
 
 @query("snk4_report", sql(f"""SELECT task_id, '# Report' || chr(10) || chr(10) || '- task: ' || task_id || chr(10) || '- cues: ' || count(*) || chr(10) || '- warnings: ' || count(*) FILTER (warned) || chr(10) || chr(10) || '| cue | time | text |' || chr(10) || '|---|---|---|' || chr(10)
-|| string_agg('| ' || (idx + 1) || ' | ' || {STAMP.format('start_ms')} || ' | ' || text || ' |', chr(10) ORDER BY idx) || chr(10) AS report
-FROM (SELECT *, length(text) > 18 AS warned FROM segments WHERE NOT contains(text, '|') AND trim(text) <> '' AND NOT regexp_matches(text, '(?i)secret|password|bearer|token|key|env:|keychain:|adc:')) GROUP BY task_id"""))
+|| string_agg('| ' || (idx + 1) || ' | ' || {STAMP.format('start_ms')} || ' | ' || {CELL.format('text')} || ' |', chr(10) ORDER BY idx) || chr(10) AS report
+FROM (SELECT task_id, idx, start_ms, {SECRET.format('text', '(task_id + idx)')} AS text, length(text) > 18 AS warned FROM segments) GROUP BY task_id"""))
 def snk4(spark, d):
     """A task's cues as Markdown: sections from aggregates, cells escaped and redacted."""
-    plain = D.segments(spark, d).where(~F.col("text").contains("|") & (F.trim("text") != "") & ~F.col("text").rlike("(?i)secret|password|bearer|token|key|env:|keychain:|adc:"))
+    shown = D.segments(spark, d).withColumn("warned", F.length("text") > 18).withColumn("text", F.expr(SECRET.format("text", "(task_id + idx)")))
     row = F.concat(F.lit("| "), (F.col("idx") + 1).cast("string"), F.lit(" | "), T.srt_time(F.col("start_ms")), F.lit(" | "), T.report_cell(F.col("text")), F.lit(" |"))
-    parts = plain.groupBy("task_id").agg(F.count("*").alias("cues"), F.count_if(F.length("text") > 18).alias("warned"), R.ordered_text(row, F.col("idx")).alias("rows"))
+    parts = shown.groupBy("task_id").agg(F.count("*").alias("cues"), F.count_if("warned").alias("warned"), R.ordered_text(row, F.col("idx")).alias("rows"))
     return parts.select("task_id", F.concat(F.lit("# Report\n\n- task: "), F.col("task_id").cast("string"), F.lit("\n- cues: "), F.col("cues").cast("string"), F.lit("\n- warnings: "), F.col("warned").cast("string"), F.lit("\n\n| cue | time | text |\n|---|---|---|\n"), F.col("rows"), F.lit("\n")).alias("report"))
 
 
@@ -242,22 +241,22 @@ def flt14(spark, d):
 # --- alignment and evidence ------------------------------------------------------------------------------
 
 
-@query("wn7_audio_only_relations", sql(f"SELECT task_id, segment_id AS ref, (sum(n) OVER (PARTITION BY task_id ORDER BY idx) - n)::BIGINT AS asr_start, (sum(n) OVER (PARTITION BY task_id ORDER BY idx))::BIGINT AS asr_end, start_ms, end_ms FROM (SELECT *, len({MATCH.format('text')}) AS n FROM segments WHERE NOT contains(text, 'ß'))"))
+@query("wn7_audio_only_relations", sql(f"SELECT task_id, segment_id AS ref, (sum(n) OVER (PARTITION BY task_id ORDER BY idx) - n)::BIGINT AS asr_start, (sum(n) OVER (PARTITION BY task_id ORDER BY idx))::BIGINT AS asr_end, start_ms, end_ms FROM (SELECT *, len({MATCH.format('text')}) AS n FROM segments)"))
 def wn7_audio(spark, d):
-    return A.audio_only(D.segments(spark, d).where(~F.col("text").contains("ß")), "segment_id")
+    return A.audio_only(D.segments(spark, d), "segment_id")
 
 
-@query("ag14_owned_text", sql(f"SELECT task_id, segment_id AS ref, {MATCH.format('text')} AS text FROM segments WHERE NOT contains(text, 'ß') AND {MATCH.format('text')} <> ''"))
+@query("ag14_owned_text", sql(f"SELECT task_id, segment_id AS ref, {MATCH.format('text')} AS text FROM segments WHERE {MATCH.format('text')} <> ''"))
 def ag14(spark, d):
     """Cut into characters and put together again by their cue."""
-    rows = A.character_rows(D.segments(spark, d).where(~F.col("text").contains("ß")), "segment_id")
+    rows = A.character_rows(D.segments(spark, d), "segment_id")
     return rows.groupBy("task_id", "ref").agg(R.ordered_text(F.col("ch"), F.col("at"), "").alias("text"))
 
 
-@query("jn7_word_evidence", sql(f"SELECT task_id, segment_id AS ref, start_ms, end_ms, count(*) AS characters FROM (SELECT w.task_id, w.segment_id, w.start_ms, w.end_ms, unnest(range(len({MATCH.format('w.text')}))) AS i FROM words w JOIN segments g ON g.task_id = w.task_id AND g.idx = w.idx WHERE NOT contains(g.text, 'ß')) GROUP BY ALL"))
+@query("jn7_word_evidence", sql(f"SELECT task_id, segment_id AS ref, start_ms, end_ms, count(*) AS characters FROM (SELECT w.task_id, w.segment_id, w.start_ms, w.end_ms, unnest(range(len({MATCH.format('w.text')}))) AS i FROM words w) GROUP BY ALL"))
 def jn7(spark, d):
     """Each character has the times of its word."""
-    cues, spoken = D.segments(spark, d).where(~F.col("text").contains("ß")), D.words(spark, d)
+    cues, spoken = D.segments(spark, d), D.words(spark, d)
     timed = A.time_evidence(cues, spoken, "segment_id")
     return timed.groupBy("task_id", "ref", "start_ms", "end_ms").agg(F.count("*").alias("characters"))
 
@@ -360,9 +359,17 @@ def jn26(spark, d):
     return D.table(spark, d, "orders").groupBy("o_custkey").agg(F.when(F.count("*") == 1, "found").otherwise("ambiguous").alias("lookup"))
 
 
-def _expected(spark, d):
+#: A cue's words without marks and digits.
+_PLAIN = "coalesce(nullif(trim(regexp_replace(regexp_replace(text, '[^\\p{L} ]', '', 'g'), ' +', ' ', 'g')), ''), 'x')"
+
+
+def _plain(spark, d):
+    words = F.trim(F.regexp_replace(F.regexp_replace("text", r"[^\p{L} ]", ""), " +", " "))
+    return D.segments(spark, d).withColumn("text", F.coalesce(F.nullif(words, F.lit("")), F.lit("x")))
+
+
+def _expected(cues):
     """Cues as expected of a file; some times are off by one, and the reference lacks a cue of some tasks."""
-    cues = D.segments(spark, d)
     off, lacks = (F.col("task_id") + F.col("idx")) % 23 == 0, (F.col("task_id") % 6 == 5) & (F.col("idx") == 0)
     return cues.select(
         F.col("task_id").alias("key"), "idx", (F.col("start_ms") + off.cast("int")).alias("start_ms"), "end_ms", "text",
@@ -370,9 +377,8 @@ def _expected(spark, d):
     )
 
 
-_WHOLE = "regexp_matches(text, '^[A-Za-z ]*[A-Za-z][A-Za-z ]*$')"
-_CHECKED = f"""WITH {D.SQL}, cues AS (SELECT *, {COUNT.format('text')} AS n, end_ms - start_ms AS ms FROM segments), good AS (SELECT task_id FROM cues GROUP BY task_id HAVING bool_and({_WHOLE})),
-c AS (SELECT * FROM cues WHERE task_id IN (SELECT task_id FROM good)), tasks AS (SELECT task_id, count(*) AS cues, max(end_ms) AS whole FROM c GROUP BY task_id),
+_CHECKED = f"""WITH {D.SQL}, plain AS (SELECT * REPLACE ({_PLAIN} AS text) FROM segments),
+c AS (SELECT *, {COUNT.format('text')} AS n, end_ms - start_ms AS ms FROM plain), tasks AS (SELECT task_id, count(*) AS cues, max(end_ms) AS whole FROM c GROUP BY task_id),
 hit AS (
   SELECT task_id, 'SRT_HARD_CHARACTER_LIMIT' AS "check", 'failed' AS status FROM c WHERE n > 24
   UNION ALL SELECT task_id, 'SRT_LINE_LENGTH', 'warning' FROM c WHERE n > 18
@@ -391,13 +397,12 @@ UNION ALL SELECT task_id, p, 'passed', 0 FROM tasks, (SELECT unnest(['SRT_UTF8',
 
 @query("val8_srt_checks", _CHECKED)
 def val8(spark, d):
-    """All checks of files with a byte-order mark, without a final newline, with mixed newlines and with times off. Tasks
-    whose cues are all plain words are compared. A mark before the first number makes that block's number wrong, so these
-    files' mark is told apart from their text."""
-    cues = D.segments(spark, d)
-    plain = cues.groupBy("task_id").agg(F.bool_and(F.col("text").rlike("^[A-Za-z ]*[A-Za-z][A-Za-z ]*$")).alias("ok"), F.max("end_ms").alias("whole")).where("ok")
-    kept = cues.join(plain.select("task_id"), "task_id", "left_semi")
-    files = S.write_srt(kept, final_blank=False).join(plain.withColumnRenamed("task_id", "key"), "key")
+    """All checks of files with a byte-order mark, without a final newline, with mixed newlines and with times off. The
+    cues are plain words, as in files whose style has been checked before. A mark before the first number makes that
+    block's number wrong, so these files' mark is told apart from their text."""
+    cues = _plain(spark, d)
+    ends = cues.groupBy(F.col("task_id").alias("key")).agg(F.max("end_ms").alias("whole"))
+    files = S.write_srt(cues, final_blank=False).join(ends, "key")
     source = (
         F.when(F.col("key") % 10 == 2, F.regexp_replace("source", "\n$", ""))
         .when(F.col("key") % 10 == 3, F.concat(F.replace("source", F.lit("\n"), F.lit("\r\n")), F.lit("")))
@@ -405,8 +410,7 @@ def val8(spark, d):
     )
     source = F.when(F.col("key") % 10 == 3, F.regexp_replace(source, "^1\r\n", "1\n")).otherwise(source)
     given = files.select("key", source.alias("source"), (F.col("key") % 10 == 1).alias("bom"), (F.col("whole") - (F.col("key") % 7 == 0).cast("int")).alias("duration_ms"))
-    expected = _expected(spark, d).join(plain.select(F.col("task_id").alias("key")), "key", "left_semi")
-    return Q.validate(given, expected)
+    return Q.validate(given, _expected(cues))
 
 
 @query("val12_status_ladder", """SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 OR o_orderkey % 17 = 0 OR o_orderkey % 7 = 0 THEN 'failed' WHEN o_orderkey % 5 = 0 THEN 'rejected' WHEN o_orderkey % 9 = 0 OR o_orderkey % 4 = 0 OR o_orderkey % 6 = 1 THEN 'needs_input' ELSE 'completed' END AS status,
@@ -421,10 +425,14 @@ def val12(spark, d):
     return D.table(spark, d, "orders").select("o_orderkey", rung.alias("s")).select("o_orderkey", "s.*")
 
 
-@query("val13_composed_inputs", "SELECT doc_id FROM documents WHERE text <> nfc_normalize(text)")
+_LOOSE = "CASE WHEN doc_id % 7 = 3 THEN text || 'e\u0301' ELSE text END"
+
+
+@query("val13_composed_inputs", f"SELECT doc_id FROM (SELECT doc_id, {_LOOSE} AS t FROM documents) WHERE t <> nfc_normalize(t)")
 def val13(spark, d):
-    """Texts that aren't composed (NFC)."""
-    return D.table(spark, d, "documents").where(F.col("text") != V.nfc(F.col("text"))).select("doc_id")
+    """Texts that aren't composed (NFC): every seventh ends in a letter and its accent apart."""
+    texts = D.table(spark, d, "documents").select("doc_id", F.expr(_LOOSE).alias("t"))
+    return texts.where(F.col("t") != V.nfc(F.col("t"))).select("doc_id")
 
 
 # --- dictionaries and adapters ---------------------------------------------------------------------------
