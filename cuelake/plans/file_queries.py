@@ -276,25 +276,32 @@ def ag12(spark, d):
     return A.timed_units(A.align(asr, reference), asr, reference)
 
 
-@query("wn13_monotone_relations", "SELECT NULL::BIGINT AS task_id, NULL::BIGINT AS asr_start WHERE FALSE")
-def wn13(spark, d):
-    """Relations that go back on either side: an alignment has none."""
-    from pyspark.sql import Window as W
+#: Relations of a transcript with itself, of which some begin `BACK` characters early on the reference's side.
+_OFF = "(task_id + idx) % 29 = 4"
+_SELF = f"""r AS (SELECT *, asr_start - CASE WHEN {_OFF} THEN 3 ELSE 0 END AS reference_start, asr_end - CASE WHEN {_OFF} THEN 3 ELSE 0 END AS reference_end
+FROM (SELECT task_id, idx, m, (sum(n) OVER w - n)::BIGINT AS asr_start, (sum(n) OVER w)::BIGINT AS asr_end FROM (SELECT *, len(m) AS n FROM (SELECT *, {MATCH.format('text')} AS m FROM segments)) WINDOW w AS (PARTITION BY task_id ORDER BY idx)) WHERE asr_end > asr_start)"""
 
-    order = W.partitionBy("task_id").orderBy("asr_start")
-    rows = A.relations(*_aligned(spark, d)).withColumn("a", F.lag("asr_end").over(order)).withColumn("r", F.lag("reference_end").over(order))
-    return rows.where("asr_start < a OR reference_start < r").select("task_id", "asr_start")
+
+def _with_itself(spark, d):
+    """(relations, characters)."""
+    cues = D.segments(spark, d)
+    own = A.audio_only(cues, "idx").where("asr_end > asr_start").withColumnRenamed("ref", "idx")
+    off = F.when(F.expr(_OFF), 3).otherwise(0)
+    return own.select("task_id", "asr_start", "asr_end", (F.col("asr_start") - off).alias("reference_start"), (F.col("asr_end") - off).alias("reference_end")), A.character_rows(cues, "segment_id")
+
+
+@query("wn13_monotone_relations", sql(f", {_SELF} SELECT task_id, asr_start FROM (SELECT *, lag(asr_end) OVER w AS a, lag(reference_end) OVER w AS b FROM r WINDOW w AS (PARTITION BY task_id ORDER BY asr_start)) WHERE asr_start < a OR reference_start < b").replace(") \n,", ")\n,"))
+def wn13(spark, d):
+    """Relations that go back on either side, beside those of an alignment, which never do."""
+    return A.going_back(_with_itself(spark, d)[0]).unionByName(A.going_back(A.relations(*_aligned(spark, d))))
 
 
-@query("val9_alignment_recomputed", "SELECT NULL::BIGINT AS task_id, NULL::BIGINT AS asr_start WHERE FALSE")
+@query("val9_alignment_recomputed", sql(f", {_SELF}, whole AS (SELECT task_id, string_agg(m, '' ORDER BY idx) AS t FROM r GROUP BY task_id) SELECT task_id, asr_start FROM r JOIN whole USING (task_id) WHERE reference_start < 0 OR substring(t, asr_start + 1, asr_end - asr_start) <> substring(t, reference_start + 1, asr_end - asr_start)").replace(") \n,", ")\n,"))
 def val9(spark, d):
-    """Relations whose characters differ, when looked up again: an alignment has none."""
+    """Relations whose characters differ, when looked up again, beside those of an alignment, which has none."""
     pairs, asr, reference = _aligned(spark, d)
-    runs = A.relations(pairs, asr, reference)
-    each = runs.select("task_id", "asr_start", F.posexplode(F.sequence("asr_start", F.col("asr_end") - 1)).alias("k", "l"), "reference_start").withColumn("r", F.col("reference_start") + F.col("k"))
-    left = asr.select("task_id", F.col("at").alias("l"), F.col("ch").alias("a"))
-    right = reference.select("task_id", F.col("at").alias("r"), F.col("ch").alias("b"))
-    return each.join(left, ["task_id", "l"], "left").join(right, ["task_id", "r"], "left").where("NOT (a <=> b)").select("task_id", "asr_start").distinct()
+    own, characters = _with_itself(spark, d)
+    return A.differing(own, characters, characters).unionByName(A.differing(A.relations(pairs, asr, reference), asr, reference))
 
 
 @query("wn15_replace_unique", sql("""SELECT task_id, idx, CASE WHEN (length(t) - length(replace(t, w, ''))) // greatest(length(w), 1) = 1 THEN replace(t, w, w || 'x') END AS replaced

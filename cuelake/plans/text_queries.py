@@ -117,14 +117,19 @@ def str22(spark, d):
 _COMMANDS = ("submit", "status", "list", "watch", "result", "review", "deliver", "retry", "cancel", "pause", "resume")
 
 
+_TYPED = "SELECT DISTINCT left(name, p_size % length(name)) || substr(name, p_size % length(name) + 1 + p_partkey % 3) AS typed FROM (SELECT *, {0} AS name FROM part)"
+
+
 @query("str23_nearest_name", f"""
-WITH c AS (SELECT unnest({list(_COMMANDS)!r}) AS name), t AS (SELECT DISTINCT lower(left(regexp_extract(text, '[A-Za-z]+'), 8)) AS typed FROM conversations)
+WITH c AS (SELECT unnest({list(_COMMANDS)!r}) AS name), t AS ({_TYPED.format(f"{list(_COMMANDS)!r}[p_partkey % {len(_COMMANDS)} + 1]")})
 SELECT typed, name, distance FROM (
   SELECT typed, name, levenshtein(typed, name)::INT AS distance, row_number() OVER (PARTITION BY typed ORDER BY levenshtein(typed, name), name) AS k FROM t, c
 ) WHERE k = 1 AND distance <= greatest(1, least(3, length(typed) // 3))""")
 def str23(spark, d):
-    """The nearest of a few known names. The names are a fixed list, so each typed word is compared in place."""
-    typed = D.table(spark, d, "conversations").select(F.lower(F.left(F.regexp_extract("text", "[A-Za-z]+", 0), F.lit(8))).alias("typed")).distinct()
+    """The nearest of a few known names, of names that lack up to two letters. They are a fixed list, so each typed word is compared in place."""
+    name = F.element_at(F.array(*map(F.lit, _COMMANDS)), (F.col("p_partkey") % len(_COMMANDS) + 1).cast("int"))
+    named, cut = D.table(spark, d, "part").withColumn("name", name), F.col("p_size") % F.length("name")
+    typed = named.select(F.concat(F.left("name", cut), F.substring("name", cut + 1 + (F.col("p_partkey") % 3).cast("int"), F.length("name"))).alias("typed")).distinct()
     best = F.array_min(F.array(*[F.struct(F.levenshtein("typed", F.lit(c)).alias("distance"), F.lit(c).alias("name")) for c in _COMMANDS]))
     near = typed.withColumn("best", best).select("typed", "best.name", "best.distance")
     return near.where("distance <= greatest(1, least(3, length(typed) div 3))")
