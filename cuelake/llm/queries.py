@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.llm import bpe, chat, decontaminate, linededup, lm, pii, quality, secretscan, simhash, tokenfile
-from cuelake.llm.common import table
+from cuelake.llm.common import materialize, table
 
 
 def _tokenizer(name: str) -> str:
@@ -47,6 +49,13 @@ def op5_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each policy and rule of it, from one ledger: how many documents fail the rule, and how many it alone rejects."""
+    entries = materialize(quality.ledger(table(spark, sf_dir, "documents")).select("failures"), "ledger")
+    versions = [quality.ablations(entries, v).withColumn("policy", F.lit(v)) for v in quality.POLICIES]
+    return reduce(DataFrame.unionByName, versions).select("policy", "rule", "n_failed", "n_alone")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secretscan.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "start", "length", F.sha2("value", 256).alias("value_sha256"), "votes")
@@ -77,6 +86,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_pii_spans": op10_pii_spans,
+    "quality_policies": quality_policies,
 }
 
 _WS = "[^\\x20\\x09-\\x0D]+"
@@ -120,6 +130,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
+_POLICIES = f"""
+WITH e AS ({_OP5}), r AS (
+  SELECT * FROM (VALUES {", ".join(f"({v}, '{r}', {quality.bits([r])}, {quality.bits(rules)})" for v, rules in quality.POLICIES.items() for r in rules)}) t(policy, rule, bit, mask)
+)
+SELECT policy, rule, count(*) FILTER (failures & bit <> 0)::BIGINT AS n_failed, count(*) FILTER (failures & mask = bit)::BIGINT AS n_alone FROM e, r GROUP BY policy, rule
+"""
+
 #: All runs of at most MIN_WORDS lines, by their text: a longer repeat consists of repeats among them.
 _OP8 = rf"""
 WITH split AS (
@@ -220,4 +237,5 @@ ORACLES = {
     "op3_chat_format": _OP3,
     "op5_quality_ledger": _OP5,
     "op8_line_dedup": _OP8,
+    "quality_policies": _POLICIES,
 }
