@@ -211,15 +211,36 @@ def occurrences(text: Column, needle: Column) -> Column:
     """Zero-based starts of non-overlapping occurrences; none for an empty needle."""
     parts = F.split(text, F.concat(F.lit("\\Q"), needle, F.lit("\\E")), -1)
     lengths = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.length)
-    starts = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda acc, n: F.struct((acc["at"] + n + F.length(needle)).alias("at"), F.array_append(acc["out"], acc["at"] + n).alias("out")),
-        lambda acc: acc["out"],
-    )
+    starts = F.zip_with(sums_before(F.transform(lengths, lambda n: n + F.length(needle))), lengths, lambda before, n: before + n)
     return F.when(needle == "", F.array().cast("array<int>")).otherwise(starts)
 
 
+def sums_before(sizes: Column, block: int = 512) -> Column:
+    """For each of some integers the sum of those before it. They are added up in blocks, since an array is copied for each
+    element that a fold appends to it."""
+    none = F.array().cast("array<int>")
+
+    def fold(some: Column, at: Column) -> Column:
+        return F.aggregate(
+            some,
+            F.struct(at.alias("at"), none.alias("out")),
+            lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")),
+            lambda acc: acc["out"],
+        )
+
+    def whole(s: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(1)), F.lit(block)), lambda k: F.slice(s, k, block))
+        return F.aggregate(
+            blocks,
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out")),
+            lambda acc, b: F.struct((acc["at"] + F.aggregate(b, F.lit(0), lambda a, n: a + n)).alias("at"), F.array_append(acc["out"], fold(b, acc["at"])).alias("out")),
+            lambda acc: F.flatten(acc["out"]),
+        )
+
+    # the lambda's variable holds the array, which as an expression would be made anew for each block
+    return F.get(F.transform(F.array(sizes), whole), 0)
+
+
 def reading_speed(count: Column, duration_ms: Column) -> Column:
     return F.when(duration_ms > 0, count / (duration_ms / 1000)).otherwise(F.lit(float("inf")))
 

@@ -157,7 +157,7 @@ def snk7(spark, d):
     rows = D.table(spark, d, "events").select("event_id", F.col("user_id").alias("task_id"), F.col("ts").alias("occurred_at"), F.col("event_type").alias("type"))
     half = rows.agg(F.max("event_id")).first()[0] or 0
     for part in ("event_id <= {0} div 2", "event_id > {0} div 2"):
-        rows.where(part.format(half)).coalesce(1).write.mode("append").parquet(source)
+        rows.where(part.format(half)).write.mode("append").parquet(source)
         E.run(E.follow(spark, source, rows.schema), "snk7", write=_Once(log, E.append_numbered(log)))
     return spark.read.parquet(log).select("event_id", "task_id", "sequence")
 
