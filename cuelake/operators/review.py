@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuelake.operators.relational import in_order
@@ -108,11 +109,24 @@ def _decide(cues: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"task_id": cues["task_id"].iloc[0], "idx": cues["idx"], "text": [texts[i] for i in cues["idx"]], "problem": [problems.get(i) for i in cues["idx"]]})
 
 
+def islands(changes: DataFrame) -> DataFrame:
+    """Changes with `island`: those whose ranges of targets overlap, over others too, have one number in their task."""
+    ordered = W.partitionBy("task_id").orderBy(F.array_min("targets"), F.array_max("targets"), "change_id")
+    reach = F.max(F.array_max("targets")).over(ordered.rowsBetween(W.unboundedPreceding, -1))
+    apart = F.coalesce(F.array_min("targets") > reach, F.lit(True))
+    return changes.withColumn("__apart", apart).withColumn("island", F.sum(F.col("__apart").cast("long")).over(ordered)).drop("__apart")
+
+
 def apply_decisions(cues: DataFrame, changes: DataFrame) -> DataFrame:
     """(task_id, idx, text, problem). changes: task_id, change_id, targets (cue numbers), begin (within the first
-    one), proposed_text, final_text. A task is one recording's cues, so it's a bounded group."""
-    both = cues.select("task_id", "idx", "text").groupBy("task_id").cogroup(changes.groupBy("task_id"))
-    return both.applyInPandas(_decide, "task_id long, idx long, text string, problem string")
+    one), proposed_text, final_text. What is decided together are the changes of an island and their cues; a cue
+    without a change passes by."""
+    marked = islands(changes)
+    placed = marked.select("task_id", F.col("island").alias("here"), F.explode("targets").alias("idx")).distinct()
+    mine = cues.select("task_id", "idx", "text").join(placed, ["task_id", "idx"], "left")
+    free = mine.where("here is null").select("task_id", "idx", "text", F.lit(None).cast("string").alias("problem"))
+    both = mine.where("here is not null").groupBy("task_id", "here").cogroup(marked.groupBy("task_id", "island"))
+    return free.unionByName(both.applyInPandas(_decide, "task_id long, idx long, text string, problem string"))
 
 
 def fold_decisions(log: DataFrame) -> DataFrame:

@@ -217,3 +217,28 @@ def test_files_with_other_bytes_are_problems(spark):
         f.write(b"\xef\xbb\xbf1\r\n00:00:01,000 --> 00:00:02,000\r\nhi\r\n")
     rows = {r["key"].rsplit("/", 1)[1]: r for r in S.read_files(spark, f"{folder}/*").collect()}
     assert rows["bad.srt"]["problem"] == "encoding" and rows["good.srt"]["problem"] is None and rows["good.srt"]["source"].startswith("1\n00")
+
+
+def test_folds_in_blocks_are_folds(spark):
+    rng = random.Random(12)
+    statuses = list(E.TRANSITIONS)
+    rows = [(t, s, rng.choice(statuses)) for t in range(6) for s in range(1, rng.randint(2, 60))]
+    want = []
+    for task in range(6):
+        now = E.FIRST
+        for _, s, wanted in sorted(r for r in rows if r[0] == task):
+            ok = wanted in E.TRANSITIONS[now]
+            now = wanted if ok else now
+            want.append((task, s, now, ok))
+    frame = spark.createDataFrame(rows, "task_id long, sequence long, wanted string")
+    for block in (1, 7, 500):
+        assert sorted(tuple(r) for r in E.fold_states(frame, block).select("task_id", "sequence", "status", "accepted").collect()) == want
+
+
+def test_sums_before(spark):
+    from cuelake.functions import text as T
+
+    rng = random.Random(13)
+    rows = [(i, [rng.randint(0, 9) for _ in range(n)]) for i, n in enumerate([0, 1, 3, 4, 5, 40])]
+    frame = spark.createDataFrame(rows, "i int, s array<int>").select("i", T.sums_before(F.col("s"), block=4).alias("b"))
+    assert {r["i"]: r["b"] for r in frame.collect()} == {i: [sum(s[:k]) for k in range(len(s))] for i, s in rows}
