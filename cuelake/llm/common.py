@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_folder: dict[str, str] = {}
+_passing: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,18 +38,31 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back: the lineage ends here, so a lost
     executor costs a re-read and not the work before it, and several readers do that work once."""
-    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name))
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name, keep))
 
 
-def write_table(df: DataFrame, name: str) -> str:
+def write_table(df: DataFrame, name: str, keep: bool = False) -> str:
     path = new_path(df.sparkSession, name)
+    if _passing and not keep:
+        _passing[-1].append(path)
     df.write.parquet(path)
     return path
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written in this context, but for those to `keep`, are deleted at its end. What leaves it is values or kept tables."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        for path in _passing.pop():
+            remove(spark, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a written table that nothing will read again."""
     jvm = spark.sparkContext._jvm

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import Memo, materialize, once_a_process
+from cuelake.llm.common import Memo, materialize, once_a_process, passing
 
 LEAST, MOST, LONGEST, BUCKETS, CLASSES, HIDDEN, ROUNDS = 1_024, 65_536, 64, 256, 48, 16, 3
 OFFSETS, REACH = (-2, -1, 1, 2), 2
@@ -348,5 +348,6 @@ def score(docs: DataFrame, words: Words, net: Network) -> DataFrame:
 
 
 def fit(docs: DataFrame) -> tuple[Words, Network]:
-    words = make_words(materialize(count_words(docs), "lm-words"))
-    return words, train(docs, words)
+    with passing(docs.sparkSession):
+        words = make_words(materialize(count_words(docs), "lm-words"))
+        return words, train(docs, words)
