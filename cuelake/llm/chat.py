@@ -13,7 +13,8 @@ sequence, hence one task.
 
 Defined cases: null text or role counts as empty; rows with a null conv_id are one conversation; a null turn
 comes first; turns of the same number are ordered by role, then text, and repeated rows are turns of their
-own; an empty table gives an empty result.
+own; an empty table gives an empty result. A turn's text is written and parsed whole, in time linear in its length,
+however long it is; a task holds one turn at a time beside its Arrow batch.
 """
 
 from __future__ import annotations

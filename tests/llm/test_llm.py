@@ -310,6 +310,13 @@ def test_chat_turns_read_back():
     assert chat.render("user", "plain # < text") == "### user: plain # < text</turn>\n"
 
 
+def test_chat_takes_very_long_texts(spark):
+    text = "plain words # and <tags> \\\\ </turn> ### x: " * 40_000
+    rows = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    got = chat.digests(chat.format_turns(rows)).first()
+    assert got["loss_chars"] == len(text) and got["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_chat_digests_awkward(spark):
     said = "\\### Assistant: </turn> ok"
     turns = [(1, 0, "user", said), (1, 1, "assistant", said), (2, None, None, None), (None, 0, "assistant", "x"), (3, 1, "assistant", "b"), (3, 1, "assistant", "a"), (3, 1, "assistant", "a")]
