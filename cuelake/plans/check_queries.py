@@ -209,7 +209,7 @@ def rule_sql(check: str, tests: list[V.Test]) -> str:
 
 
 def _register(check: str, tests: list[V.Test]) -> None:
-    query(check, rule_sql(check, tests))(lambda spark, d: V.issues(check, tests, C.frames(spark, d)))
+    query(check, rule_sql(check, tests))(lambda spark, d: V.issues(check, tests, C.frames(spark, d, written=len(tests) > 3)))
 
 
 for _check, _tests in CHECKS.items():

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cuelake.operators.relational import ordered_text
 from cuelake.plans import workload as D
+from cuelake.sources.storage import fresh
 
 _ROLE = "CASE s_suppkey % 3 WHEN 0 THEN 'asr' WHEN 1 THEN 'calibration' ELSE 'audio_verification' END"
 
@@ -112,12 +113,18 @@ TABLES: dict[str, tuple[str, int, str, dict[str, str]]] = {
 _FULL_TEXT = "CASE WHEN task_id % 6 = 0 THEN 'other ' ELSE '' END"
 
 
-def frames(spark: SparkSession, d: str):
-    """A function from a relation's name to its DataFrame."""
+def frames(spark: SparkSession, d: str, written: bool = False):
+    """A function from a relation's name to its DataFrame. With `written`, what is derived from the texts is written once."""
+    paths: dict[str, str] = {}
 
     def get(name: str) -> DataFrame:
         if name in ("segments", "words", "suggestions", "findings"):
-            return getattr(D, name)(spark, d)
+            if not written:
+                return getattr(D, name)(spark, d)
+            if name not in paths:
+                paths[name] = fresh(spark, name)
+                getattr(D, name)(spark, d).write.parquet(paths[name])
+            return spark.read.parquet(paths[name])
         if name not in TABLES:
             return D.table(spark, d, name)
         if name == "transcripts":
