@@ -60,11 +60,14 @@ def src4(spark, d):
     return rows.select("raw", S.strip_vtt_markup(F.col("raw")).alias("text"))
 
 
-@query("src5_transcript_json", sql("""SELECT g.task_id AS key, g.idx AS "index", g.start_ms, g.end_ms, g.text, count(w.word) FILTER (w.word <> 1)::BIGINT AS kept, count(w.word) FILTER (w.word = 1)::INT AS dropped FROM segments g JOIN words w ON w.task_id = g.task_id AND w.idx = g.idx GROUP BY ALL"""))
+@query("src5_transcript_json", sql("""SELECT g.task_id AS key, g.idx AS "index", g.start_ms, g.end_ms, g.text, count(w.word) FILTER (w.word NOT IN (1, 2))::BIGINT AS kept, count(w.word) FILTER (w.word IN (1, 2))::INT AS dropped FROM segments g JOIN words w ON w.task_id = g.task_id AND w.idx = g.idx GROUP BY ALL"""))
 def src5(spark, d):
-    """Documents whose every second word starts before its cue: dropped, the others kept. SRC14's fold is the same."""
+    """Documents whose cues' second words start before their cues, and whose third words' confidence is above 1: these are
+    dropped, the others kept. SRC14's fold is the same."""
     words = D.words(spark, d).withColumn("start_ms", F.when(F.col("word") == 1, -1).otherwise(F.col("start_ms")))
-    lists = words.groupBy("task_id", "idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "text", "start_ms", "end_ms"))), lambda w: F.struct(w["text"].alias("text"), w["start_ms"].alias("start_ms"), w["end_ms"].alias("end_ms"))).alias("words"))
+    words = words.withColumn("confidence", F.when(F.col("word") == 2, 1.5).when(F.col("word") > 3, 0.5))
+    fields = ("text", "start_ms", "end_ms", "confidence")
+    lists = words.groupBy("task_id", "idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("word", *fields))), lambda w: F.struct(*[w[c].alias(c) for c in fields])).alias("words"))
     cues = D.segments(spark, d).join(lists, ["task_id", "idx"]).select("task_id", F.struct(F.col("idx").alias("index"), "start_ms", "end_ms", "text", "words").alias("s"))
     docs = cues.groupBy(F.col("task_id").alias("key")).agg(F.array_sort(F.collect_list("s")).alias("segments"))
     source = F.to_json(F.struct(F.array_join(F.transform("segments", lambda s: s["text"]), "\n").alias("text"), "segments"))

@@ -138,17 +138,21 @@ def keep_words(words: Column, start: Column, end: Column) -> Column:
     return F.aggregate(F.coalesce(words, F.array().cast("array<struct<text:string,start_ms:bigint,end_ms:bigint>>")), state, step, lambda a: F.struct(a["words"], a["dropped"]))
 
 
-TRANSCRIPT = "text string, segments array<struct<index:bigint, start_ms:bigint, end_ms:bigint, text:string, words:array<struct<text:string,start_ms:bigint,end_ms:bigint>>>>"
+TRANSCRIPT = "text string, segments array<struct<index:bigint, start_ms:bigint, end_ms:bigint, text:string, words:array<struct<text:string,start_ms:bigint,end_ms:bigint,confidence:double>>>>"
 
 
 def import_transcript_json(files: DataFrame) -> DataFrame:
-    """(key, index, start_ms, end_ms, text, words, dropped, problem) of a transcript document."""
+    """(key, index, start_ms, end_ms, text, words, dropped, problem) of a transcript document. A word whose confidence is
+    neither null nor from 0 to 1 is dropped, as one out of its place is."""
     from pyspark.sql import Window as W
 
     doc = files.select("key", F.from_json("source", TRANSCRIPT).alias("t"))
     joined = F.array_join(F.transform("t.segments", lambda s: s["text"]), "\n") == F.col("t.text")
     rows = doc.select("key", joined.alias("joined"), F.posexplode_outer("t.segments").alias("at", "s"))
-    kept = keep_words(F.col("s.words"), F.col("s.start_ms"), F.col("s.end_ms"))
+    # a word without text is dropped
+    sure = lambda w: F.coalesce(w["confidence"].between(0, 1), F.lit(True))
+    words = F.transform("s.words", lambda w: F.struct(F.when(sure(w), w["text"]).otherwise("").alias("text"), w["start_ms"].alias("start_ms"), w["end_ms"].alias("end_ms")))
+    kept = keep_words(words, F.col("s.start_ms"), F.col("s.end_ms"))
     in_file = W.partitionBy("key").orderBy("at")
     problem = (
         F.when(F.col("at").isNull(), "no_segments")
