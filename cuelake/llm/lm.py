@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 
 from cuelake.llm.common import Memo, materialize, once_a_process, passing
 
-LEAST, MOST, LONGEST, BUCKETS, CLASSES, HIDDEN, ROUNDS = 1_024, 65_536, 64, 256, 48, 16, 3
+#: `MOST` words, the buckets and the gap have numbers of 16 bits, which are sorted fastest.
+LEAST, MOST, LONGEST, BUCKETS, CLASSES, HIDDEN, ROUNDS = 1_024, 65_000, 64, 256, 32, 8, 3
 OFFSETS, REACH = (-2, -1, 1, 2), 2
 RATE, BATCH, SEED = 0.15, 4_096, 5
 #: Tokens that are held in arrays at a time, words that a task counts or remembers, networks that meet in a task.
@@ -151,10 +152,11 @@ class Network:
     """One float32 vector of parameters, and views of it. An id's row holds its embedding for each offset, side by side."""
 
     def __init__(self, flat: np.ndarray, ids: int, nodes: int):
-        sizes = [(ids + 1) * len(OFFSETS) * HIDDEN, HIDDEN * CLASSES, CLASSES, nodes * HIDDEN, nodes]  # one more row, for what is beyond the ends
+        sizes = [(ids + 1) * len(OFFSETS) * HIDDEN, HIDDEN * CLASSES, CLASSES, nodes * (HIDDEN + 1)]  # one more row, for what is beyond the ends
         self.flat = flat
-        a, b, self.bias, c, self.odds = np.split(flat, np.cumsum(sizes)[:-1])
-        self.inputs, self.output, self.nodes = a.reshape(ids + 1, -1), b.reshape(HIDDEN, CLASSES), c.reshape(nodes, HIDDEN)
+        a, b, self.bias, c = np.split(flat, np.cumsum(sizes)[:-1])
+        # a node's last weight is its log-odds
+        self.inputs, self.output, self.nodes = a.reshape(ids + 1, -1), b.reshape(HIDDEN, CLASSES), c.reshape(nodes, HIDDEN + 1)
 
     @staticmethod
     def of(flat: np.ndarray, words: Words) -> Network:
@@ -165,34 +167,36 @@ class Network:
         """Small random weights, and the frequencies as biases: at first every word has its unigram probability."""
         rng = np.random.default_rng(SEED)
         size = (len(words.cls) + 1) * len(OFFSETS) * HIDDEN + HIDDEN * CLASSES
-        nodes = np.zeros(len(words.odds) * HIDDEN)
-        return Network.of(np.concatenate((rng.normal(0, 0.1, size), words.prior, nodes, words.odds)).astype(np.float32), words)
+        nodes = np.zeros((len(words.odds), HIDDEN + 1))
+        nodes[:, -1] = words.odds
+        return Network.of(np.concatenate((rng.normal(0, 0.1, size), words.prior, nodes.ravel())).astype(np.float32), words)
 
     def forward(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hidden values and log-probabilities of the classes at each place, but for `REACH` places at both ends."""
-        rows, n = self.inputs[ids], len(ids) - 2 * REACH
+        rows, n = self.inputs.take(ids, axis=0), len(ids) - 2 * REACH
         hidden = rows[REACH + OFFSETS[0] :][:n, :HIDDEN].copy()
         for k, o in enumerate(OFFSETS[1:], 1):
             hidden += rows[REACH + o : REACH + o + n, k * HIDDEN : (k + 1) * HIDDEN]
         np.tanh(hidden, out=hidden)
         z = hidden @ self.output
         z += self.bias
-        z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))  # scores are small: no overflow
         return hidden, z
 
-    def decide(self, hidden: np.ndarray, nodes: np.ndarray, ways: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(weights of the nodes, how clearly each decision falls for the way taken)."""
-        own = self.nodes[nodes]
-        return own, ways * (np.einsum("ij,ij->i", hidden[of], own) + self.odds[nodes])
+    def decide(self, hidden: np.ndarray, nodes: np.ndarray, ways: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hidden values and 1, weights of the nodes, how clearly each decision falls for the way taken)."""
+        seen = np.empty((len(hidden), HIDDEN + 1), np.float32)
+        seen[:, :-1], seen[:, -1] = hidden, 1
+        seen, own = np.repeat(seen, np.bincount(of, minlength=len(seen)), axis=0), self.nodes.take(nodes, axis=0)
+        return seen, own, ways * np.einsum("ij,ij->i", seen, own)
 
 
 def _by_row(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct rows, and the sums of their gradients."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
     rows = rows[order]
     first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-    return rows[first], np.add.reduceat(grad[order], first, axis=0)
+    return rows[first], np.add.reduceat(grad.take(order, axis=0), first, axis=0)
 
 
 class Trainer:
@@ -213,15 +217,16 @@ class Trainer:
         back = error @ net.output.T
         nodes, ways, of = self.words.steps(target)
         if len(nodes):
-            own, clear = net.decide(hidden, nodes, ways, of)
+            seen, own, clear = net.decide(hidden, nodes, ways, of)
             slope = -ways / (1 + np.exp(np.minimum(clear, 40)))
             first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-            back[of[first]] += np.add.reduceat(slope[:, None] * own, first, axis=0)
-            rows, grad = _by_row(nodes, slope[:, None] * np.concatenate((hidden[of], np.ones((len(of), 1), np.float32)), axis=1))
+            own *= slope[:, None]
+            seen *= slope[:, None]
+            back[of[first]] += np.add.reduceat(own, first, axis=0)[:, :-1]
+            rows, grad = _by_row(nodes, seen)
             self.seen_nodes[rows] += np.einsum("ij,ij->i", grad, grad) / grad.shape[1]
             grad *= (RATE / np.sqrt(self.seen_nodes[rows]))[:, None]
-            net.nodes[rows] -= grad[:, :-1]
-            net.odds[rows] -= grad[:, -1]
+            net.nodes[rows] -= grad
         back *= 1 - hidden * hidden
         # the word at a place is a neighbour of the places around it, once for each offset
         grad = np.zeros((len(ids), len(OFFSETS) * HIDDEN), np.float32)
@@ -327,8 +332,8 @@ def _score_batches(words, flat):
                     target = ids[a:b]
                     hidden, z = net.forward(ids[a - REACH : b + REACH])
                     nodes, ways, of = known.steps(target)
-                    clear = net.decide(hidden, nodes, ways, of)[1]
-                    logs[a:b] = z[np.arange(b - a), classes[target]] - np.bincount(of, np.logaddexp(0, -clear), b - a)
+                    clear = net.decide(hidden, nodes, ways, of)[2]
+                    logs[a:b] = z[np.arange(b - a), classes[target]] - np.bincount(of, np.log1p(np.exp(-np.abs(clear))) - np.minimum(clear, 0), b - a)
                 logs += share[ids]
                 logs[ids == known.gap] = 0
                 total = np.concatenate(([0.0], np.cumsum(logs)))

@@ -474,7 +474,7 @@ def test_lm_learns_both_sides_and_scores_by_definition(spark):
         z = h @ net.output + net.bias
         total += z[words.cls[w]] - np.log(np.exp(z).sum()) + words.share[w]
         for k in range(words.path[w], words.path[w + 1]):
-            total -= np.log1p(np.exp(-words.ways[k] * (h @ net.nodes[words.nodes[k]] + net.odds[words.nodes[k]])))
+            total -= np.log1p(np.exp(-words.ways[k] * (np.append(h, 1) @ net.nodes[words.nodes[k]])))
     row = lm.score(docs_of(spark, [text]), words, net).first()
     assert row["n_tokens"] == 5 and abs(row["log_likelihood"] - total) < 1e-3
 
@@ -486,7 +486,7 @@ def test_lm_probabilities_add_up_and_begin_as_unigrams(spark):
         z = (hidden @ n.output + n.bias)[0]
         logs = (z - np.log(np.exp(z).sum()))[words.cls]
         nodes, ways, of = words.steps(everyone)
-        logs = logs - np.bincount(of, np.logaddexp(0, -n.decide(np.repeat(hidden, len(everyone), axis=0), nodes, ways, of)[1]), len(everyone))
+        logs = logs - np.bincount(of, np.logaddexp(0, -n.decide(np.repeat(hidden, len(everyone), axis=0), nodes, ways, of)[2]), len(everyone))
         assert abs(np.exp(logs).sum() - 1) < 1e-4
 
 
