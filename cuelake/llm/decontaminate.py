@@ -87,19 +87,26 @@ def template(text: bytes, codes: dict[bytes, int]) -> tuple[np.ndarray, np.ndarr
     return hashes, kind, own, words
 
 
-def windows(hashes: np.ndarray, kind: np.ndarray, size: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the windows with enough literal words."""
+def windows(hashes: np.ndarray, kind: np.ndarray, size: int, literals: int, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of the windows with enough literal words, of all or `among` some positions."""
     n = len(hashes) - size + 1
-    if n <= 0:
+    if n <= 0 or among is not None and not len(among):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    rolled, free = np.zeros(n, np.uint64), np.zeros(n, np.int64)
+    rolled, free = np.zeros(n if among is None else len(among), np.uint64), np.zeros(n if among is None else len(among), np.int64)
     for k in range(size):
-        rolled += hashes[k : k + n] * _FACTORS[k]
-        free += kind[k : k + n] == 0
+        here = slice(k, k + n) if among is None else among + k
+        rolled += hashes[here] * _FACTORS[k]
+        free += kind[here] == 0
     rolled ^= rolled >> np.uint64(29)
     rolled *= _FACTORS[0]
     at = np.flatnonzero(free >= literals)
-    return at, rolled[at]
+    return at if among is None else among[at], rolled[at]
+
+
+def _named(kind: np.ndarray, size: int) -> np.ndarray:
+    """The positions of the windows that hold a name."""
+    names = np.concatenate(([0], np.cumsum(kind == _NAME)))
+    return np.flatnonzero(names[size:] > names[:-size])
 
 
 def _bit(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -126,22 +133,21 @@ def _window_batches(size: int, literals: int, wanted=None):
             ids, found = batch.column(0).to_pylist(), []
             for doc, text in zip(ids, batch.column(1).cast(pa.binary()), strict=True):
                 hashes, kind, own, words = template(text.as_py() or b"", codes)
-                forms = [(hashes, kind)]
+                forms = [(hashes, kind, None)]
                 if (kind == _NAME).any():
-                    forms.append(_nameless(hashes, kind, own))
+                    forms.append((*_nameless(hashes, kind, own), None if bits is None else _named(kind, size)))
                 elif bits is None:
                     forms.append(forms[0])
-                for form, (values, kinds) in enumerate(forms):
-                    at, values = windows(values, kinds, size, literals)
+                for form, (values, kinds, among) in enumerate(forms):
+                    at, values = windows(values, kinds, size, literals, among)
                     total = len(at)
                     if bits is not None and total:
                         bit = _bit(values, FILTER_BITS)
                         hit = (bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1) != 0
                         at, values = at[hit], values[hit]
                     for p, v in zip(at.tolist(), values.view(np.int64).tolist(), strict=True):
-                        if bits is None or form == 0 or (kind[p : p + size] == _NAME).any():
-                            slots = [f"{kinds[i]}{_OUTER.sub('', words[i].decode('utf-8', 'replace')).lower()}" if kinds[i] else None for i in range(p, p + size)]
-                            found.append((doc, form, p, v, slots, total))
+                        slots = [f"{kinds[i]}{_OUTER.sub('', words[i].decode('utf-8', 'replace')).lower()}" if kinds[i] else None for i in range(p, p + size)]
+                        found.append((doc, form, p, v, slots, total))
             for k in range(0, len(found), 50_000):
                 types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32())
                 columns = [pa.array(c, t) for c, t in zip(zip(*found[k : k + 50_000], strict=True), types, strict=True)]
