@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import bpe, chat, decontaminate, linededup, lm, pii, quality, secretscan, simhash, tokenfile
+from cuelake.llm import bpe, chat, decontaminate, divergence, linededup, lm, pii, quality, repair, secretscan, simhash, tokenfile, toxicity
 from cuelake.llm.common import materialize, table
 
 
@@ -75,6 +75,25 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words", "n_hits")
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    mended = repair.repair(repair.damage(turns)).alias("m")
+    ids = turns.select(F.col("conv_id").cast("long").alias("conv_id")).distinct().alias("i")
+    found = ids.join(mended, F.col("i.conv_id").eqNullSafe(F.col("m.conv_id")), "left")
+    figures = [F.coalesce(f"m.{c}", F.lit(0)).cast("long").alias(c) for c in repair.FIGURES]
+    return found.select("i.conv_id", *figures, F.coalesce("m.audit", F.lit("")).alias("audit"), F.coalesce("m.repaired_sha256", F.lit(repair.EMPTY)).alias("repaired_sha256"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_lm_scores": op1_lm_scores,
     "op2_decontaminate": op2_decontaminate,
@@ -86,6 +105,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_pii_spans": op10_pii_spans,
+    "op11_toxicity": op11_toxicity,
+    "op12_structure_repair": op12_structure_repair,
+    "op13_source_divergence": op13_source_divergence,
     "quality_policies": quality_policies,
 }
 
@@ -232,10 +254,95 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM f GROUP BY conv_id
 """
 
+#: The damage with a CRC-32 by its table; then a step a row, each with up to two inserts before one edit. `said` are the lines so far, each with its newline.
+_OP12 = r"""
+WITH RECURSIVE tab AS (
+  SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))
+), hit AS (
+  SELECT c.conv_id, c.turn, coalesce(c.role, ' ') AS role, coalesce(c.text, ' ') AS text,
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(c.conv_id::VARCHAR, ' ') || ':' || coalesce(c.turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+                         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS hit
+  FROM conversations c, tab
+), damaged AS (
+  SELECT conv_id, turn, CASE hit WHEN 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hit, (SELECT unnest([0, 1]) AS copy) WHERE hit <> 0 AND (copy = 0 OR hit = 3)
+), r AS (
+  SELECT *, row_number() OVER o - 1 AS pos,
+         NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS empty, left(role, 1) AS i, lag(left(role, 1)) OVER o AS prior
+  FROM damaged WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), f AS (
+  SELECT *, empty OR again AS gone, NOT empty AND NOT again AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS broken
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again FROM r)
+), ins(state, mid, price, made, new) AS (
+  VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''), (0, 2, 3, 'I', E'user:\n'), (1, 2, 3, 'I', E'user:\n'), (3, 2, 3, 'I', E'user:\n'),
+         (2, 3, 3, 'I', E'assistant:\n'), (0, 3, 6, 'II', E'user:\nassistant:\n'), (1, 3, 6, 'II', E'user:\nassistant:\n')
+), edit(mid, e, i, after) AS (
+  VALUES (0, 'K', 's', 1), (0, 'K', 'u', 2), (1, 'K', 'u', 2), (3, 'K', 'u', 2), (2, 'K', 'a', 3), (0, 'K', '', 0), (1, 'K', '', 1), (2, 'K', '', 2), (3, 'K', '', 3),
+         (0, 'R', '*', 2), (1, 'R', '*', 2), (3, 'R', '*', 2), (2, 'R', '*', 3), (0, 'D', '*', 0), (1, 'D', '*', 1), (2, 'D', '*', 2), (3, 'D', '*', 3)
+), walk AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS pos, 0 AS state, {'cost': 0::BIGINT, 'audit': '', 'said': ''} AS best FROM f
+  UNION ALL
+  SELECT w.conv_id, w.pos + 1, edit.after,
+         min({'cost': w.best.cost + price + CASE e WHEN 'R' THEN 3 WHEN 'D' THEN 4 ELSE 0 END + CASE WHEN f.broken AND e <> 'D' THEN 3 ELSE 0 END,
+              'audit': w.best.audit || made || e,
+              'said': w.best.said || new || CASE e WHEN 'D' THEN '' WHEN 'K' THEN f.role || ':' || f.text || chr(10) ELSE CASE edit.mid WHEN 2 THEN 'assistant:' ELSE 'user:' END || f.text || chr(10) END})
+  FROM walk w JOIN ins ON ins.state = w.state JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.pos = w.pos
+       JOIN edit ON edit.mid = ins.mid AND (edit.i = '*' OR edit.i = f.i) AND (e = 'D' OR NOT f.gone)
+  GROUP BY w.conv_id, w.pos, edit.after
+), figures AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (empty)::BIGINT AS blank,
+         count(*) FILTER (again AND NOT empty)::BIGINT AS duplicate, count(*) FILTER (broken)::BIGINT AS truncated,
+         count(*) FILTER (pos > 0 AND prior || i NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal
+  FROM f GROUP BY conv_id
+), ended AS (
+  SELECT w.conv_id, min({'cost': w.best.cost + price, 'audit': w.best.audit || made, 'said': w.best.said || new}) AS best
+  FROM walk w JOIN figures s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.n = w.pos JOIN ins ON ins.state = w.state AND ins.mid IN (0, 3) GROUP BY w.conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit,
+       sha256(CASE WHEN coalesce(best.said, '') = '' THEN '' ELSE left(best.said, length(best.said) - 1) END) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN figures s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+_OP13 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), token AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (
+  SELECT lang, term FROM token GROUP BY lang, term HAVING count(DISTINCT id) >= {divergence.LEAST}
+), size AS (
+  SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), counted AS (
+  SELECT lang, source, term, count(*) AS n FROM token SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+), grp AS (
+  SELECT DISTINCT lang, source FROM d
+), total AS (
+  SELECT lang, source, coalesce(sum(n), 0) AS t FROM grp LEFT JOIN counted USING (lang, source) GROUP BY lang, source
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + ({divergence.SCALE}::HUGEINT * (coalesce(n, 0) + 1)) // (t + v)::HUGEINT AS p
+  FROM total g JOIN size USING (lang) JOIN kept k ON k.lang = g.lang LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), q AS (
+  SELECT lang, term, 1 + ({divergence.SCALE}::HUGEINT * (n + 1)) // (t + v)::HUGEINT AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM counted GROUP BY lang, term) JOIN (SELECT lang, sum(t) AS t FROM total GROUP BY lang) USING (lang) JOIN size USING (lang)
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM every) WHERE part = 'pair' OR rank <= {divergence.TOP}
+"""
+
 ORACLES = {
     "op2_decontaminate": _OP2,
     "op3_chat_format": _OP3,
     "op5_quality_ledger": _OP5,
     "op8_line_dedup": _OP8,
+    "op12_structure_repair": _OP12,
+    "op13_source_divergence": _OP13,
     "quality_policies": _POLICIES,
 }
