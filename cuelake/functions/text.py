@@ -63,6 +63,7 @@ def has_han(c: Column) -> Column:
     return c.rlike(r"\p{IsHan}")
 
 
+#: Markup in a text; a fixed value.
 TAGS = r"</?[A-Za-z][^>]*>|\{\\[^}]+\}"
 
 
@@ -81,10 +82,13 @@ def forbidden_text(c: Column) -> Column:
     )
 
 
+#: What an answer begins with that isn't the corrected text alone; fixed values.
+ANSWER_LEAD = "^(?:修正后|校正后|修改说明|说明|答案)\\s*[：:]"
+
+
 def corrected_text_safe(c: Column) -> Column:
     t = trim(c)
-    answer = "^(?:修正后|校正后|修改说明|说明|答案)\\s*[：:]"
-    return (t != "") & ~t.rlike(r"[\p{Cc}\p{Cf}\p{Zl}\p{Zp}]") & ~t.rlike(r"```|" + TAGS + r"|\\[NnHh]") & ~t.rlike(answer) & ~looks_like_json(t)
+    return (t != "") & ~t.rlike(r"[\p{Cc}\p{Cf}\p{Zl}\p{Zp}]") & ~t.rlike(r"```|" + TAGS + r"|\\[NnHh]") & ~t.rlike(ANSWER_LEAD) & ~looks_like_json(t)
 
 
 def edited_text_safe(c: Column) -> Column:
@@ -110,10 +114,18 @@ def is_placeholder(text: Column, evidence: Column) -> Column:
     return ~F.contains(match_text(evidence), match_text(text)) & (text.rlike(f"(?i)(?:{UNCERTAIN})") | text.rlike(f"(?i)(?:{ANSWERS})"))
 
 
+#: What a report doesn't show, and what stands in its place; fixed values.
+REDACTED = {
+    r"(?i)(?<![A-Za-z0-9_])Bearer\s+\S+": "Bearer [REDACTED]",
+    r"(?i)(?<![A-Za-z0-9_])(?:authorization|api[-_ ]?key|access[-_ ]?token|secret|password)\s*[:=]\s*\S+": "[REDACTED]",
+    r"(?i)(?<![A-Za-z0-9_])(?:env|keychain|adc):[^\s；，,)]+": "[CREDENTIAL_REF_REDACTED]",
+}
+
+
 def report_cell(c: Column) -> Column:
-    out = F.regexp_replace(c, r"(?i)(?<![A-Za-z0-9_])Bearer\s+\S+", "Bearer [REDACTED]")
-    out = F.regexp_replace(out, r"(?i)(?<![A-Za-z0-9_])(?:authorization|api[-_ ]?key|access[-_ ]?token|secret|password)\s*[:=]\s*\S+", "[REDACTED]")
-    out = F.regexp_replace(out, r"(?i)(?<![A-Za-z0-9_])(?:env|keychain|adc):[^\s；，,)]+", "[CREDENTIAL_REF_REDACTED]")
+    out = c
+    for pattern, instead in REDACTED.items():
+        out = F.regexp_replace(out, pattern, instead)
     out = F.trim(F.replace(F.regexp_replace(out, r"[\p{Cc}\p{Cf}]", " "), F.lit("|"), F.lit("\\|")))
     return F.when(F.coalesce(out, F.lit("")) == "", "—").otherwise(out)
 
@@ -141,6 +153,7 @@ def secret_kind(c: Column) -> Column:
     return out
 
 
+#: Names of fields whose values are secret; a fixed value.
 SENSITIVE_FIELD = (
     "(?:^|_)(?:api_keys?|access_tokens?|refresh_tokens?|auth_tokens?|client_secrets?|tokens?|authorizations?|passwords?|secrets?"
     "|credentials?|private_keys?|credit_(?:codes?|vouchers?))(?:_|$)"

@@ -14,8 +14,7 @@ _PREVIOUS = "lag({0}) OVER (PARTITION BY task_id ORDER BY pos)"
 _CALL, _ERROR, _STAGING, _CHUNK, _FOUND, _WARNING, _APP = (f"task_id || '/' || {c} || '@' || pos" for c in ("call_id", "error_id", "staging_id", "chunk_id", "finding_id", "warning_id", "application_id"))
 _TASK = ("task_id", "task_id")
 
-#: Values that look like credentials, without look-arounds; fixed values.
-#: Any of the kinds of credentials, wherever it stands; both engines read the pattern, so it has no look-around.
+#: Any of the kinds of credentials of `T.SECRETS`, wherever it stands. DuckDB's patterns have no look-arounds, so these are taken out of the same text.
 _VALUE = "|".join(f"(^|[^A-Za-z0-9_]){p}" if p.startswith("(?<!") else p for p in T.SECRETS.values())
 for _around, _plain in (("(?<![A-Za-z0-9_])", ""), ("(?![A-Za-z0-9_])", ""), ("'", "''"), ("\\", "\\\\")):
     _VALUE = _VALUE.replace(_around, _plain)

@@ -273,7 +273,7 @@ def ag12(spark, d):
     asr = A.time_evidence(cues, D.words(spark, d), "segment_id")
     kept = D.segments(spark, d).where("(task_id + idx) % 5 <> 3").withColumn("reference_id", F.format_string("reference-%04d", F.col("idx") + 1))
     reference = A.character_rows(kept, "reference_id")
-    return A.timed_units(A.align(asr, reference), asr, reference)
+    return A.timed_units(A.align(A.placed(cues, "segment_id"), A.placed(kept, "reference_id")), asr, reference)
 
 
 #: Relations of a transcript with itself, of which some begin `BACK` characters early on the reference's side.

@@ -55,11 +55,16 @@ def str25(spark, d):
     return D.suggestions(spark, d).select("task_id", "suggestion_id", V.close_to(F.col("original_text"), F.col("suggested_text")).alias("close"))
 
 
-def _aligned(spark, d):
-    asr = A.character_rows(D.segments(spark, d), "segment_id")
+def _sides(spark, d):
+    """Each task's cues, and a reference that lacks some of them: (cues, name of their ids) of either side."""
     kept = D.segments(spark, d).where("(task_id + idx) % 5 <> 3")
-    reference = A.character_rows(kept.withColumn("reference_id", F.format_string("reference-%04d", F.col("idx") + 1)), "reference_id")
-    return A.align(asr, reference), asr, reference
+    return (D.segments(spark, d), "segment_id"), (kept.withColumn("reference_id", F.format_string("reference-%04d", F.col("idx") + 1)), "reference_id")
+
+
+def _aligned(spark, d):
+    """(pairs, characters of the transcript, of the reference)."""
+    asr, reference = _sides(spark, d)
+    return A.align(A.placed(*asr), A.placed(*reference)), A.character_rows(*asr), A.character_rows(*reference)
 
 
 _CHARS = "len(regexp_replace(upper(replace({0}, 'ß', 'ss')), '[^\\p{{L}}\\p{{N}}]', '', 'g'))"
@@ -68,7 +73,8 @@ _CHARS = "len(regexp_replace(upper(replace({0}, 'ß', 'ss')), '[^\\p{{L}}\\p{{N}
 @query("ag2_alignment_summary", sql(f"""SELECT task_id, sum(n) FILTER ((task_id + idx) % 5 <> 3)::BIGINT AS matched, sum(n)::BIGINT AS asr_characters FROM (SELECT task_id, idx, {_CHARS.format('text')} AS n FROM segments) GROUP BY task_id HAVING count(*) FILTER ((task_id + idx) % 5 <> 3) > 0"""))
 def ag2(spark, d):
     """JN6: a reference that lacks some cues matches all that it has."""
-    return A.summary(*_aligned(spark, d)).where("reference_characters > 0").select("task_id", "matched", "asr_characters")
+    asr, reference = (A.placed(*side) for side in _sides(spark, d))
+    return A.summary(A.align(asr, reference), asr, reference).where("reference_characters > 0").select("task_id", "matched", "asr_characters")
 
 
 @query("ag10_alignment_relations")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuelake.functions import text as T
 from cuelake.operators import relational as R
+from cuelake.operators import terms as TM
 from cuelake.plans import workload as D
 from cuelake.plans.registry import query
 from cuelake.plans.workload import sql
@@ -122,6 +123,22 @@ def jn13(spark, d):
     return turns.select("conv_id", "turn", F.explode(found).alias("term"))
 
 
+_HAS = "contains(CASE WHEN case_sensitive THEN x.text ELSE lower(x.text) END, CASE WHEN case_sensitive THEN form ELSE lower(form) END)"
+
+
+@query("jn13_dictionary_matches", sql(f"SELECT DISTINCT conv_id, turn, entry_id FROM conversations x, dictionary_forms WHERE {_HAS}"))
+def jn13_dictionary(spark, d):
+    """Each turn and the entries of the dictionary that have a form in it, by either case policy."""
+    return TM.term_matches(D.table(spark, d, "conversations"), ["conv_id", "turn"], D.dictionary_forms(spark, d))
+
+
+@query("jn13_matched_entries", sql(f"SELECT task_id, count(DISTINCT entry_id)::BIGINT AS entries, min(entry_id) AS first_entry FROM (SELECT DISTINCT task_id, entry_id FROM segments x, dictionary_forms WHERE {_HAS}) GROUP BY task_id"))
+def jn13_entries(spark, d):
+    """The entries that a task's transcript calls for: no form has a line's end in it, so its cues are searched one by one."""
+    found = TM.term_matches(D.segments(spark, d), ["task_id"], D.dictionary_forms(spark, d))
+    return found.groupBy("task_id").agg(F.count("*").alias("entries"), F.min("entry_id").alias("first_entry"))
+
+
 @query("jn14_import_diff", """SELECT coalesce(a.p_partkey, b.p_partkey) AS part, CASE WHEN a.p_partkey IS NULL THEN 'added' WHEN b.p_partkey IS NULL THEN 'missing' WHEN a.n = b.n THEN 'unchanged' ELSE 'updated' END AS change
 FROM (SELECT p_partkey, p_name AS n FROM part WHERE p_partkey % 10 <> 0) a FULL JOIN (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN p_name || '!' ELSE p_name END AS n FROM part WHERE p_partkey % 13 <> 0) b ON a.p_partkey = b.p_partkey""")
 def jn14(spark, d):

@@ -83,6 +83,16 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dictionary_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forms of dictionary entries, one for each part: (entry_id, form, case_sensitive). Besides its type and its brand an entry may
+    have words that begin a conversation."""
+    part, first = table(spark, sf_dir, "part"), table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", F.coalesce("text", F.lit("")).alias("text"))
+    said = F.when(F.col("p_partkey") % 3 == 0, F.substring_index("text", " ", 1)).otherwise(F.trim(F.substring("text", 1, 14)))
+    named = part.join(first, F.col("p_partkey") % 1000 == F.col("conv_id"), "left").select("p_partkey", F.array("p_type", F.lower("p_brand"), said).alias("forms"))
+    each = named.select(F.concat(F.lit("entry-"), F.col("p_partkey").cast("string")).alias("entry_id"), F.explode("forms").alias("form"), (F.col("p_partkey") % 4 == 0).alias("case_sensitive"))
+    return each.where("form <> ''")
+
+
 def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An event log: (task_id, sequence, occurred_at, type, value, k)."""
     order = W.partitionBy("user_id").orderBy("ts", "event_id")
@@ -120,6 +130,11 @@ pieces AS (
   SELECT 'dict-' || p_size AS dictionary_id, CASE WHEN p_size % 2 = 0 THEN 'project' ELSE 'global' END AS scope, p_size % 3 = 0 AS is_default, p_size % 5 = 0 AS explicit,
          'entry-' || (p_partkey % 97) AS entry_id, p_type AS canonical, lower(p_brand) AS variant, p_partkey % 4 = 0 AS case_sensitive, p_partkey % 11 <> 0 AS enabled, p_partkey AS part
   FROM part
+), dictionary_forms AS (
+  SELECT * FROM (
+    SELECT 'entry-' || p_partkey AS entry_id, unnest([p_type, lower(p_brand), CASE WHEN p_partkey % 3 = 0 THEN split_part(c.text, ' ', 1) ELSE trim(left(c.text, 14)) END]) AS form, p_partkey % 4 = 0 AS case_sensitive
+    FROM part LEFT JOIN (SELECT conv_id, coalesce(text, '') AS text FROM conversations WHERE turn = 0) c ON c.conv_id = p_partkey % 1000
+  ) WHERE form <> ''
 ), task_events AS (
   SELECT user_id AS task_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence, ts AS occurred_at, event_type AS type, value,
          (props ->> '$.k')::BIGINT AS k, event_id

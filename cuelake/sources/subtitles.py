@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,15 +58,20 @@ def parse_srt(files: DataFrame) -> DataFrame:
     return parsed.withColumn("p", problem).withColumn("problem", first).drop("p", "n")
 
 
+#: Markup that SRT and WebVTT cues may have, and VTT's entities; fixed values.
+SRT_MARKUP = ("(?i)</?(?:i|b|u)>", r"(?i)<font(?:\s+[^>]*)?>|</font>")
+VTT_MARKUP = (r"(?i)</?v(?:\.[^ >]+)*(?:\s+[^>]*)?>", r"(?i)</?(?:c|i|b|u|ruby|rt|lang)(?:\.[^ >]+)*(?:\s+[^>]*)?>")
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&amp;": "&", "&nbsp;": " "}
+
+
 def strip_srt_markup(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, "(?i)</?(?:i|b|u)>", ""), r"(?i)<font(?:\s+[^>]*)?>|</font>", "")
+    return reduce(lambda out, tag: F.regexp_replace(out, tag, ""), SRT_MARKUP, c)
 
 
 def strip_vtt_markup(c: Column) -> Column:
     """Known tags go and four entities are decoded; null if other markup is left."""
-    out = F.regexp_replace(c, r"(?i)</?v(?:\.[^ >]+)*(?:\s+[^>]*)?>", "")
-    out = F.regexp_replace(out, r"(?i)</?(?:c|i|b|u|ruby|rt|lang)(?:\.[^ >]+)*(?:\s+[^>]*)?>", "")
-    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&nbsp;", " ")):
+    out = reduce(lambda out, tag: F.regexp_replace(out, tag, ""), VTT_MARKUP, c)
+    for entity, plain in ENTITIES.items():
         out = F.replace(out, F.lit(entity), F.lit(plain))
     return F.when(~c.rlike("[<&]"), c).when(~out.rlike("<[^>]*>") & ~out.rlike("&[a-zA-Z0-9#]+;"), out)
 
