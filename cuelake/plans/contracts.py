@@ -157,3 +157,52 @@ def _cte(name: str) -> str:
 
 
 SQL = D.SQL + "".join(f", {name} AS ({duck(_cte(name))})" for name in TABLES)
+
+
+# --- nested documents ------------------------------------------------------------------------------------
+
+
+def _list(df: DataFrame, keys: list[str], order: list[str], fields: dict[str, str], name: str) -> DataFrame:
+    """One array a key: its rows as objects, in order."""
+    item = F.struct(*[F.expr(e).alias(k) for k, e in fields.items()])
+    return df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, item.alias("item")))), lambda x: x["item"]).alias(name))
+
+
+def _time(ms: str) -> str:
+    """An instant as documents write it; relations have milliseconds from some beginning."""
+    return f"date_format(timestamp_millis(1700000000000 + CAST({ms} AS BIGINT)), \"yyyy-MM-dd'T'HH:mm:ss.SSSXXX\")"
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, kind, body): a transcript, a calibration and a verification of each task, as JSON, with the relations' faults."""
+    get, task = frames(spark, d, written=True), ["task_id"]
+    words = _list(get("cue_words"), ["task_id", "pos"], ["word_pos"], {"word_id": "word_id", "index": "word_index", "start_ms": "word_start", "end_ms": "word_end"}, "words")
+    cues = get("cues").join(words, ["task_id", "pos"], "left")
+    segments = _list(cues, task, ["pos"], {"segment_id": "cue_id", "index": "cue_index", "start_ms": "cue_start", "end_ms": "cue_end", "text": "cue_text", "words": "words"}, "segments")
+    tasks, errors = get("tasks"), _list(get("errors"), task, ["pos"], {"error_id": "error_id", "stage": "error_stage", "code": "'STAGING_CLEANUP_FAILED'", "remediation": "'remove it'"}, "errors")
+
+    def bodies(rows: DataFrame, kind: str, body: str) -> DataFrame:
+        text = F.to_json(F.expr(body), {"ignoreNullFields": "false"})
+        return rows.select(F.concat(F.lit(f"{kind}-"), F.col("task_id").cast("string")).alias("doc_id"), F.lit(kind).alias("kind"), text.alias("body"))
+
+    transcript = bodies(tasks.join(segments, task).join(get("transcripts").select("task_id", "full_text"), task), "transcript", f"""named_struct('created_at', {_time('artifact_at')}, 'audio', named_struct('duration_ms', duration_ms),
+        'full_text', full_text, 'segments', segments, 'call', named_struct('outcome', transcript_call, 'started_at', {_time('artifact_at - 5')}, 'ended_at', {_time('artifact_at - task_id % 7')}, 'error_ref', CAST(NULL AS STRING)),
+        'errors', transform(sequence(1, greatest(1, transcript_errors)), k -> named_struct('error_id', 'e' || k)), 'no_errors', transcript_errors < 1)""")
+    suggested = _list(get("proposals"), task, ["pos"], {"suggestion_id": "suggestion_id", "kind": "kind", "start_ms": "from_ms", "end_ms": "to_ms"}, "suggestions")
+    calibration = bodies(tasks.join(suggested, task, "left").join(errors, task, "left"), "calibration", """named_struct('status', calibration, 'request', named_struct('reference_srt_ref', CASE WHEN has_reference THEN 'in/reference.srt' END, 'mode', mode),
+        'call', named_struct('outcome', calibration_call, 'error_ref', calibration_error), 'suggestions', suggestions, 'errors', CASE WHEN calibration = 'failed' THEN errors END)""")
+    parts = [
+        errors,
+        _list(get("calls"), task, ["pos"], {"call_id": "call_id", "provider_request_id": "provider_request_id", "outcome": "call_outcome", "error_ref": "call_error", "started_at": _time("call_started"), "ended_at": _time("call_ended")}, "calls"),
+        _list(get("staging"), task, ["pos"], {"staging_id": "staging_id", "staging_kind": "'gemini_file'", "call_ref": "staging_call", "object_uri": "object_uri", "created_at": _time("created_at"), "cleanup_status": "cleanup_status", "cleanup_finished_at": _time("cleaned_at"), "error_ref": "staging_error"}, "staging"),
+        _list(get("found"), task, ["pos"], {"finding_id": "finding_id", "kind": "finding_kind", "start_ms": "found_start", "end_ms": "found_end"}, "findings"),
+        _list(get("applications"), task, ["pos"], {"application_id": "application_id", "finding_ref": "finding_id", "disposition": "disposition", "reason": "CASE WHEN modification_ref IS NULL THEN 'verification_failed' ELSE 'accepted_by_rules' END"}, "application_results"),
+        _list(get("warnings"), task, ["pos"], {"warning_id": "warning_id", "code": "'STAGING_CLEANUP_FAILED'", "stage": "'staging_cleanup'", "severity": "severity", "related_error_ref": "warning_error", "related_staging_ref": "warning_staging"}, "warnings"),
+        _list(get("chunks"), task, ["pos"], {"chunk_id": "chunk_id", "bytes": "bytes", "start_ms": "chunk_start", "end_ms": "chunk_end", "outcome": "chunk_outcome", "call_ref": "chunk_call", "error_ref": "chunk_error"}, "parts"),
+    ]
+    rows = tasks
+    for part in parts:
+        rows = rows.join(part, task, "left")
+    verification = bodies(rows, "verification", f"""named_struct('created_at', {_time('artifact_at')}, 'status', verification, 'calls', calls, 'staging', staging, 'findings', findings, 'application_results', application_results,
+        'warnings', warnings, 'errors', errors, 'local_chunking', CASE WHEN parts IS NOT NULL THEN named_struct('source_bytes', source_bytes, 'parts', parts) END)""")
+    return transcript.withColumn("body", F.regexp_replace("body", r'"errors":\[[^\]]*\],"no_errors":true', '"errors":[]')).union(calibration).union(verification)
