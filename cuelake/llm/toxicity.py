@@ -8,11 +8,12 @@ the word in the text has a letter, so plain numbers never do.
 The lexicon comes from labelled documents, of which `FIT_ROWS` at most, chosen by a hash of doc_id, are read; their few bytes
 are broadcast, so texts aren't shuffled.
 1. Words are counted by documents of either label; beginnings sum what their words have. Words and beginnings that
-   toxic documents have `ODDS` times as often as others are candidates, `CANDIDATES` at most; of a beginning and what
+   toxic documents have `FIRST` times as often as others are candidates, `CANDIDATES` at most; of a beginning and what
    it begins, the one that tells more stays.
 2. The candidates are matched, with the words beside them. Copies of a document repeat the same neighbours, so a
    candidate's evidence is how many different words stand before and after it (the lesser number), under each label; its
-   weight is the logarithm of their ratio, each taken a standard deviation to the cautious side. A pattern with a neighbour that mostly
+   weight is the logarithm of their ratio, each taken a standard deviation to the cautious side, and it stays if the ratio is
+   `ODDS` at least. A pattern with a neighbour that mostly
    stands in other documents makes an exception phrase: a match within one has no weight.
 3. A candidate of less than `SURE` evidence that in most of its toxic documents stands beside one of `LED` times its evidence is explained by that one,
    and goes: so do words that only came along.
@@ -47,7 +48,7 @@ FIT_ROWS = 1 << 17
 CANDIDATES, PHRASES, LONGEST = 4096, 4096, 48
 #: Shortest beginning of words; different words that one must have in toxic documents.
 STEM, FAMILY = 4, 3
-ODDS, EVIDENCE, SURE, LED, FOLDS = 8.0, 3, 20, 4, 5
+FIRST, ODDS, EVIDENCE, SURE, LED, FOLDS = 3.0, 8.0, 3, 20, 4, 5
 #: Steps of the calibration's grid, and words that a text counts as having besides its own.
 GRID, SHORT, RIDGE = 64, 20, 1e-3
 
@@ -121,7 +122,7 @@ def matches(text: str, found) -> tuple[int, list[tuple[str, str, str]]]:
     hits: list[tuple[str, str, str]] = []
     best: dict[int, str] = {}
     padded = f" {folded} "
-    for end, p in found.iter(padded):
+    for end, p in found.iter(padded) if len(found) else ():
         start = end - len(p) + 1  # in `padded`, of the pattern
         if len(p) > len(best.get(start, "")):
             best[start] = p
@@ -174,7 +175,7 @@ def _word_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _candidates(rows: DataFrame) -> tuple[list[str], tuple[int, int]]:
-    """Patterns whose words stand in toxic documents `ODDS` times as often, and the number of documents of either label."""
+    """Patterns whose words stand in toxic documents `FIRST` times as often, and the number of documents of either label."""
     words = rows.select("doc_id", "text", "toxic").mapInArrow(_word_batches, "word string, toxic int, n long")
     counts = materialize(words.groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c")), "toxic-words")
     total = counts.where("word = ''").first()
@@ -187,7 +188,7 @@ def _candidates(rows: DataFrame) -> tuple[list[str], tuple[int, int]]:
     stems = F.explode(F.transform(F.sequence(F.lit(STEM), F.least(size, F.lit(LONGEST))), lambda k: F.substring(F.col("word"), F.lit(1), k)))
     begun = counts.where(size >= STEM).select(stems.alias("pattern"), "t", "c").groupBy("pattern").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum((F.col("t") > 0).cast("int")).alias("family"))
     both = whole.union(begun.where((F.col("t") >= EVIDENCE) & (F.col("family") >= FAMILY)))
-    strong = both.where((odds >= ODDS) & (F.col("t") >= EVIDENCE)).withColumn("gain", F.sqrt("t") * F.log(odds))
+    strong = both.where((odds >= FIRST) & (F.col("t") >= EVIDENCE)).withColumn("gain", F.sqrt("t") * F.log(odds))
     best = strong.orderBy(F.desc("gain"), F.desc(F.length("pattern")), "pattern").limit(CANDIDATES).collect()
     return _reduced([r["pattern"] for r in best]), n
 
