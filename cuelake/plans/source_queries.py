@@ -90,12 +90,16 @@ def src15(spark, d):
     return bodies.select("event_id", F.get_json_object("b", "$.choices[0].message.content").alias("content"), F.get_json_object("b", "$.choices[0].finish_reason").alias("finish_reason"))
 
 
-@query("src16_event_stream", sql("SELECT task_id AS key, string_agg(text, '' ORDER BY idx) FILTER (idx < 3) AS content, CASE WHEN max(idx) >= 2 THEN 'stop' ELSE 'stream_incomplete' END AS finish_reason, count(*) FILTER (idx < 3)::BIGINT AS events FROM segments GROUP BY task_id"))
+@query("src16_event_stream", sql("""SELECT task_id AS key, string_agg(text, '' ORDER BY idx) FILTER (idx <= e) AS content, CASE WHEN task_id % 6 = 1 THEN 'stream_incomplete' ELSE 'stop' END AS finish_reason, count(*) FILTER (idx <= e)::BIGINT AS events
+FROM (SELECT *, CASE WHEN task_id % 4 = 2 THEN max(idx) OVER w // 2 ELSE max(idx) OVER w END AS e FROM segments WINDOW w AS (PARTITION BY task_id)) GROUP BY task_id""".replace("task_id % 6 = 1", "task_id % 6 = 1 AND task_id % 4 <> 2")))
 def src16(spark, d):
-    """A cue is a delta; the third one ends the stream, and what follows isn't read."""
-    choice = F.struct(F.struct(F.col("text").alias("content")).alias("delta"), F.when(F.col("idx") == 2, "stop").alias("finish_reason"))
+    """A cue is a delta. The last one ends the stream, in some tasks one in the middle, after which nothing is read; in some no end comes."""
+    cues = D.segments(spark, d).withColumn("last", F.max("idx").over(D.W.partitionBy("task_id")))
+    early = F.col("task_id") % 4 == 2
+    stop = F.when(early & (F.col("idx") == F.expr("last div 2")) | ~early & (F.col("task_id") % 6 != 1) & (F.col("idx") == F.col("last")), "stop")
+    choice = F.struct(F.struct(F.col("text").alias("content")).alias("delta"), stop.alias("finish_reason"))
     line = F.concat(F.lit("data: "), F.to_json(F.struct(F.array(choice).alias("choices"))), F.lit("\n"))
-    bodies = D.segments(spark, d).groupBy(F.col("task_id").alias("key")).agg(S.ordered_text(line, F.col("idx")).alias("source"))
+    bodies = cues.groupBy(F.col("task_id").alias("key")).agg(S.ordered_text(line, F.col("idx")).alias("source"))
     return S.stream_content(bodies)
 
 

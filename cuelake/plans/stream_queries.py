@@ -11,6 +11,7 @@ from cuelake.plans.workload import sql
 from cuelake.sources import subtitles as S
 from cuelake.sources.storage import fresh
 from cuelake.streaming import events as E
+from cuelake.streaming import stateful as ST
 
 _WANTED = "CASE type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'paused' WHEN 'error' THEN 'failed' ELSE 'pausing' END"
 _ALLOWED = ", ".join(f"('{a}', '{b}')" for a, after in E.TRANSITIONS.items() for b in after)
@@ -58,6 +59,27 @@ def stm4(spark, d):
     return E.run(_stream(spark, d).groupBy(F.col("user_id").alias("task_id")).agg(F.max("ts").alias("heartbeat")), "stm4", mode="complete")
 
 
+def _in_pieces(spark, rows, name: str, order: str):
+    """A stream of `rows` whose files hold them out of order; the last file has the row that moves the watermark past all others."""
+    path = fresh(spark, name)
+    span = rows.agg(F.min("at").alias("low"), F.max("at").alias("high")).first()
+    rows.repartition(3, F.expr(order)).write.parquet(path)
+    wait = int((span["high"] - span["low"]).total_seconds()) + 60 if span["high"] else 60
+    after = F.lit(span["high"]).cast("timestamp") + F.make_dt_interval(secs=F.lit(wait + 1))
+    rows.limit(1).select(*[(after if c == "at" else F.lit(None)).cast(t).alias(c) for c, t in rows.dtypes]).coalesce(1).write.mode("append").parquet(path)
+    return E.follow(spark, path, rows.schema, files_a_batch=1), f"{wait} seconds"
+
+
+@query("stm4_stale_tasks", """WITH beats AS (SELECT user_id AS task_id, date_trunc('millisecond', ts) AS ts FROM events) SELECT task_id, unnest(['stale', 'alive']) AS state, unnest([ts + INTERVAL 15 SECOND, next]) AS at FROM (SELECT *, lead(ts) OVER (PARTITION BY task_id ORDER BY ts) AS next FROM beats) WHERE next > ts + INTERVAL 15 SECOND
+UNION ALL SELECT task_id, 'stale', max(ts) + INTERVAL 15 SECOND FROM beats GROUP BY task_id HAVING max(ts) + INTERVAL 15 SECOND <= (SELECT max(ts) FROM beats) + INTERVAL 1 SECOND""")
+def stm4_stale(spark, d):
+    """Timers on event time, in milliseconds: a task without a beat for 15 seconds is stale, and the next beat takes that back; the files hold the beats out of order."""
+    beats = D.table(spark, d, "events").select(F.col("user_id").alias("task_id"), F.col("ts").cast("timestamp").alias("at"), "event_id")
+    stream, delay = _in_pieces(spark, beats, "stm4-beats", "event_id % 3")
+    found = E.run(ST.follow_heartbeats(stream, 15_000, delay), "stm4").where("task_id IS NOT NULL")
+    return found.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
 @query("stm5_state_fold", _FOLD)
 def stm5(spark, d):
     return E.fold_states(_log(spark, d))
@@ -101,6 +123,16 @@ def stm9(spark, d):
     return P.idempotent_requests(requests).withColumnRenamed("at", "at_")
 
 
+@query("stm9_request_stream", """SELECT request_id, seq, CASE WHEN seq = first_seq THEN 'accepted' WHEN fingerprint = first_print THEN 'replay' ELSE 'conflict' END AS outcome
+FROM (SELECT o_custkey AS request_id, o_orderkey AS seq, o_orderpriority AS fingerprint, first(o_orderkey) OVER o AS first_seq, first(o_orderpriority) OVER o AS first_print FROM orders WINDOW o AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))""")
+def stm9_stream(spark, d):
+    """The same from a stream, in order of the requests' dates, whatever the order of its files: a request is decided once the watermark has passed it."""
+    orders = D.table(spark, d, "orders")
+    requests = orders.select(F.col("o_custkey").alias("request_id"), F.to_timestamp("o_orderdate").alias("at"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("fingerprint"))
+    stream, delay = _in_pieces(spark, requests, "stm9-requests", "seq % 5")
+    return E.run(ST.follow_requests(stream, 10**15, delay), "stm9").where("request_id IS NOT NULL")
+
+
 _PHASE = "CASE l_linenumber % 3 WHEN 1 THEN 'dispatched' WHEN 2 THEN 'response_persisted' ELSE 'terminal' END"
 
 
@@ -144,6 +176,28 @@ def stm12(spark, d):
     return E.run(E.join_deltas(E.follow(spark, path, pieces.schema, files_a_batch=1)), "stm12")
 
 
+_END = "CASE WHEN task_id % 11 = 0 THEN 'connection_close' WHEN task_id % 5 = 0 THEN 'done_marker' ELSE 'finish_reason' END"
+
+
+@query("stm12_live_answers", sql(f"""SELECT task_id AS call_id, coalesce(string_agg(text, '' ORDER BY idx), '') AS content, count(*) FILTER (text <> '')::BIGINT AS deltas, max({_END}) AS ended_by, max(CASE {_END} WHEN 'connection_close' THEN 'stream_incomplete' WHEN 'finish_reason' THEN 'stop' END) AS finish_reason
+FROM (SELECT *, max(idx) OVER (PARTITION BY task_id) AS last FROM segments) WHERE task_id % 7 <> 3 OR task_id % 11 = 0 OR task_id % 5 = 0 OR idx <= last // 2 GROUP BY task_id"""))
+def stm12_live(spark, d):
+    """Answers as bytes, cut anywhere and out of order in their files; some end before their last cue, some by a marker, some not at all."""
+    cues = D.segments(spark, d).withColumn("end", F.expr(_END)).withColumn("last", F.max("idx").over(D.W.partitionBy("task_id")))
+    stop = F.when((F.col("end") == "finish_reason") & (F.col("idx") == F.when(F.col("task_id") % 7 == 3, F.expr("last div 2")).otherwise(F.col("last"))), "stop")
+    choice = F.struct(F.struct(F.col("text").alias("content")).alias("delta"), stop.alias("finish_reason"))
+    line = F.concat(F.lit("data: "), F.to_json(F.struct(F.array(choice).alias("choices"))), F.lit("\r\n"))
+    bodies = cues.groupBy(F.col("task_id").alias("call_id"), "end").agg(S.ordered_text(line, F.col("idx"), "").alias("b"))
+    data = F.encode(F.concat("b", F.when(F.col("end") == "done_marker", "data: [DONE]\n").otherwise("")), "UTF-8")
+    starts = F.sequence(F.lit(0), F.greatest(F.length("data") - 1, F.lit(0)), F.lit(997))
+    cut = bodies.select("call_id", data.alias("data")).select("call_id", "data", F.length("data").alias("size"), F.posexplode(starts).alias("pos", "k"))
+    pieces = cut.select("call_id", F.col("pos").cast("long").alias("pos"), F.timestamp_seconds(F.col("pos") + 1_700_000_000).alias("at"), F.substring("data", F.col("k") + 1, F.lit(997)).alias("data"), (F.col("k") + 997 >= F.col("size")).alias("closed"))
+    stream, delay = _in_pieces(spark, pieces, "stm12-bytes", "pos % 5")
+    rows = E.run(ST.follow_answers(stream, 10**12, delay), "stm12-live").where("call_id IS NOT NULL")
+    chunks = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("chunk").isNotNull(), F.struct("n", "chunk")))), lambda x: x["chunk"]), "")
+    return rows.groupBy("call_id").agg(chunks.alias("content"), F.count("chunk").alias("deltas"), F.max("ended_by").alias("ended_by"), F.max("finish_reason").alias("finish_reason"))
+
+
 @query("stm15_delivery_history", sql("SELECT task_id, k AS revision, min(sequence) AS delivered FROM task_events WHERE type = 'purchase' GROUP BY task_id, k"))
 def stm15(spark, d):
     """A revision is delivered once; what comes again changes nothing."""
@@ -152,31 +206,16 @@ def stm15(spark, d):
 
 @query("snk7_numbered_log", sql("SELECT event_id, task_id, sequence FROM task_events"))
 def snk7(spark, d):
-    """Events appended batch by batch, each with its task's next number."""
-    source, log = fresh(spark, "snk7-events"), fresh(spark, "snk7-log")
+    """Events appended batch by batch, each with its task's next number. The stream is stopped and goes on from its checkpoint."""
+    source, log, checkpoint = (fresh(spark, f"snk7-{name}") for name in ("events", "log", "checkpoint"))
     rows = D.table(spark, d, "events").select("event_id", F.col("user_id").alias("task_id"), F.col("ts").alias("occurred_at"), F.col("event_type").alias("type"))
     half = rows.agg(F.max("event_id")).first()[0] or 0
     for part in ("event_id <= {0} div 2", "event_id > {0} div 2"):
         rows.where(part.format(half)).write.mode("append").parquet(source)
-        E.run(E.follow(spark, source, rows.schema), "snk7", write=_Once(log, E.append_numbered(log)))
+        E.run(E.follow(spark, source, rows.schema), "snk7", write=E.append_numbered(log), checkpoint=checkpoint)
     return spark.read.parquet(log).select("event_id", "task_id", "sequence")
 
 
-class _Once:
-    """Two runs of a stream without a common checkpoint: the second sees only what the log lacks."""
-
-    def __init__(self, log, write):
-        self.log, self.write = log, write
-
-    def __call__(self, batch, _):
-        spark = batch.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.log)
-        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        done = len([f for f in files.listStatus(path)]) if files.exists(path) else 0
-        new = batch.join(spark.read.parquet(self.log).select("event_id"), "event_id", "left_anti") if done else batch
-        self.write(new, done)
-
-
 @query("src21_log_gaps", sql("SELECT task_id, sequence, expected FROM (SELECT task_id, sequence, row_number() OVER (PARTITION BY task_id ORDER BY sequence) AS expected FROM task_events WHERE event_id % 40 <> 0) WHERE sequence <> expected"))
 def src21(spark, d):
     """A log written as JSON lines and read back, with events missing: every number that isn't the next."""
