@@ -75,6 +75,18 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(1))
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Names like these that none of the columns has, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        own = f"__{name}"
+        while own in taken:
+            own = f"_{own}"
+        taken.add(own)
+        out.append(own)
+    return out
+
+
 def once_a_process(name: str, build):
     """What `build` makes, made once in each Python worker process: tasks that follow reuse it."""
     import sys

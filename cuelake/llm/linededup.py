@@ -5,14 +5,21 @@ A run is a number of consecutive lines that have a word (lines without words don
 before it begins. All lines of all repeats go; what is first stays, so every line's first occurrence stays.
 
 It suffices to look at the shortest runs of `MIN_WORDS` words, those that begin at each line and those that
-end at each line: a repeat consists of repeats among them. They are the windows, of at most `MIN_WORDS` lines
-each. A window's fingerprint is the least of its line hashes; equal windows have equal fingerprints, at the same
-place in them, so none is missed. Fingerprints are joined by their hash and by that of the lines on both sides of
-them up to the window's ends, that is, a match counts if it extends both ways over a whole window. Windows that
-overlap or touch extend it further.
+end at each line: a repeat consists of repeats among them. They are the windows, of at most `MIN_WORDS` lines each.
 
-A window meets one place, the first that has an equal one, however often it occurs: no join gives pairs of a group's
-members, and a group's first place is found by partial minima.
+Winnowing: the line with the least hash of a window (the first of equals) is its fingerprint, and stands for the window. Neighbouring windows mostly
+have the same one, so short lines give few fingerprints; a line of `MIN_WORDS` words is a window by itself and
+hence a fingerprint, since its copy must be found wherever it stands alone. Equal windows have equal
+fingerprints at the same place in them, so none is missed.
+
+1. Fingerprints are joined by position: those whose line stands at one place only have no match, and go.
+2. From the others a match is extended both ways, over the lines to the left and to the right of the fingerprint, up to
+   the ends of each of its windows. A window meets the first place where the fingerprint and both sides are the same, not the
+   fingerprint's first place, whose sides may differ. Windows that overlap or touch extend the match further.
+3. The lines of later matches go.
+
+However often a window occurs, it meets one place: no join gives pairs of a group's members, and a group's first place is found by partial
+minima. Frequent fingerprints and windows, of which there can't be more than `HEAVY`, are broadcast, so no task gets all of one.
 
 Defined cases: a null text stays null; a null doc_id leaves the row as it is, and its lines are no source of
 matches; lines without words stay; rows that repeat both doc_id and text are one document and all get its
@@ -25,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import WORD, materialize
+from cuelake.llm.common import WORD, materialize, unused
 
 MIN_WORDS, HEAVY = 8, 1_000
 
@@ -45,8 +52,9 @@ def _lines(text: Column) -> Column:
 
 
 def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(d, k, pos, print, sides, rows): document and hash of its text, the window's first line among those with
-    words, its fingerprint, the hash of all its lines in order, and their row numbers in the text."""
+    """(d, k, pos, at, h, g, left, right, rows): document and hash of its text, the window's first line among those with
+    words, its fingerprint's place and two hashes, the hashes of the lines before and after that in the window, and the
+    row numbers of all its lines in the text."""
     text = docs.where("doc_id is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("k"), F.col("text").cast("string").alias("t")
     )
@@ -79,44 +87,53 @@ def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return F.struct(start.alias("pos"), F.filter(F.array(*[at(start + j) for j in range(min_words)]), lambda _, j: j < c % (min_words + 1)).alias("x"))
 
     wide = _apart(placed, v=F.transform("c", cut)).select("d", "k", "v")
+    least = F.transform("v", lambda v: F.struct(v["pos"].alias("pos"), v["x"].alias("x"), F.array_position(F.transform(v["x"], lambda x: x["h"]), F.array_min(F.transform(v["x"], lambda x: x["h"]))).cast("int").alias("i")))
+    marked = _apart(wide, u=least).select("d", "k", "u")
+    side = lambda v, keep: F.xxhash64(F.transform(F.filter(v["x"], lambda _, j: keep(j, v["i"] - 1)), lambda x: x["g"]))
     made = F.transform(
-        "v",
+        "u",
         lambda v: F.struct(
-            v["pos"].alias("pos"), F.array_min(F.transform(v["x"], lambda x: x["h"])).alias("print"),
-            F.xxhash64(F.transform(v["x"], lambda x: x["g"])).alias("sides"), F.transform(v["x"], lambda x: x["row"]).alias("rows"),
+            v["pos"].alias("pos"), (v["pos"] + v["i"] - 1).alias("at"), F.get(v["x"], v["i"] - 1)["h"].alias("h"), F.get(v["x"], v["i"] - 1)["g"].alias("g"),
+            side(v, lambda j, i: j < i).alias("left"), side(v, lambda j, i: j > i).alias("right"), F.transform(v["x"], lambda x: x["row"]).alias("rows"),
         ),
     )
-    return wide.select("d", "k", F.inline(made))
+    return marked.select("d", "k", F.inline(made))
+
+
+def _split(groups: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Groups (keys, n) that have more than one in `HEAVY` rows, of which there are fewer than `HEAVY`, and the others."""
+    frequent = F.col("n") * HEAVY > rows
+    return groups.where(frequent).drop("n"), groups.where(~frequent).drop("n")
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(d, k, row) of every line to delete; a line may come several times."""
-    every, key = materialize(windows(docs, min_words), "line-windows"), ["print", "sides"]
-    place = F.struct("d", "k", "pos")
-    first = every.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
-    first = materialize(first, "line-firsts")
-    # fewer than HEAVY windows can each be more than one in HEAVY: they are broadcast, so no task gets all of one
-    frequent = F.col("n") * HEAVY > every.count()
-    heavy, light = first.where(frequent).drop("n"), first.where(~frequent).drop("n")
-    met = every.join(F.broadcast(heavy), key).unionByName(every.join(F.broadcast(heavy.select(*key)), key, "left_anti").join(light, key))
+    every, prints = materialize(windows(docs, min_words), "line-windows"), ["h", "g"]
+    total, point = every.count(), F.struct("d", "k", "at")
+    twice = every.groupBy(*prints).agg(F.min(point).alias("a"), F.max(point).alias("b"), F.count("*").alias("n")).where("a < b").drop("a", "b")
+    heavy, light = _split(materialize(twice, "line-prints"), total)
+    joined = every.join(F.broadcast(heavy), prints, "left_semi").unionByName(every.join(F.broadcast(heavy), prints, "left_anti").join(light, prints, "left_semi"))
+    joined, key, place = materialize(joined, "line-matches"), [*prints, "left", "right"], F.struct("d", "k", "pos")
+    first = joined.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
+    heavy, light = _split(materialize(first, "line-firsts"), total)
+    met = joined.join(F.broadcast(heavy), key).unionByName(joined.join(F.broadcast(heavy.select(*key)), key, "left_anti").join(light, key))
     apart = (F.col("d") != F.col("first.d")) | (F.col("k") != F.col("first.k")) | (F.col("first.pos") + F.size("rows") <= F.col("pos"))
     return met.where((place > F.col("first")) & apart).select("d", "k", F.explode("rows").alias("row"))
 
 
-def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows of `docs` with `text` less its repeated lines, and `__removed_lines`, `__removed_words` (long)."""
-    gone = repeats(docs, min_words).groupBy(F.col("d").alias("__d"), F.col("k").alias("__k")).agg(F.collect_set("row").alias("__rows"))
-    columns = docs.columns
-    keyed = docs.select("*", F.col("doc_id").cast("long").alias("__d"), F.xxhash64("text").alias("__k"))
-    both = keyed.join(gone, ["__d", "__k"], "left")
+def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS, counts: bool = True) -> DataFrame:
+    """The rows of `docs` with `text` less its repeated lines, and with `counts` `__removed_lines`, `__removed_words` (long),
+    which take the place of columns of these names."""
+    columns = [c for c in docs.columns if not counts or c not in ("__removed_lines", "__removed_words")]
+    d, k, rows, split, left = unused(docs.columns, "d", "k", "rows", "split", "left")
+    gone = repeats(docs, min_words).groupBy(F.col("d").alias(d), F.col("k").alias(k)).agg(F.collect_set("row").alias(rows))
+    keyed = docs.select("*", F.col("doc_id").cast("long").alias(d), F.xxhash64("text").alias(k))
+    both = keyed.join(gone, [d, k], "left")
     # a set of the row numbers to keep, so that a long text isn't searched for each of its lines
-    edited = _apart(both, __split=F.when(F.col("__rows").isNotNull(), F.split("text", "\n")))
-    edited = _apart(edited, __left=F.array_except(F.sequence(F.lit(0), F.size("__split") - 1), F.col("__rows")))
-    left = F.when(F.size("__left") == 0, "").otherwise(F.array_join(F.transform("__left", lambda i: F.get(F.col("__split"), i)), "\n"))
-    text = F.when(F.col("__rows").isNull(), F.col("text")).otherwise(left)
-    lost = F.aggregate(F.transform("__rows", lambda i: F.regexp_count(F.get(F.col("__split"), i), F.lit(WORD))), F.lit(0).cast("long"), lambda a, n: a + n)
-    return edited.select(
-        *[text.alias(c) if c == "text" else edited[c] for c in columns],
-        F.when(F.col("__rows").isNull(), 0).otherwise(F.size("__rows")).cast("long").alias("__removed_lines"),
-        F.coalesce(lost, F.lit(0).cast("long")).alias("__removed_words"),
-    )
+    edited = _apart(both, **{split: F.when(F.col(rows).isNotNull(), F.split("text", "\n"))})
+    edited = _apart(edited, **{left: F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(rows))})
+    kept = F.when(F.size(left) == 0, "").otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col(split), i)), "\n"))
+    text = F.when(F.col(rows).isNull(), F.col("text")).otherwise(kept)
+    lost = F.aggregate(F.transform(rows, lambda i: F.regexp_count(F.get(F.col(split), i), F.lit(WORD))), F.lit(0).cast("long"), lambda a, n: a + n)
+    measures = [F.when(F.col(rows).isNull(), 0).otherwise(F.size(rows)).cast("long").alias("__removed_lines"), F.coalesce(lost, F.lit(0).cast("long")).alias("__removed_words")]
+    return edited.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in columns], *measures[: 2 * counts])
