@@ -85,7 +85,6 @@ def test_distribution_keeps_every_cue():
     assert "".join(review.distribute(["ab", "cd"], [(1, 3, "wxyz")])) == "awxyzd"
     with pytest.raises(ValueError):
         review.distribute(["ab", "cd"], [(0, 2, "x"), (1, 3, "y")])
-    assert review.components([[1, 2], [4], [2, 3]]) == [1, 4, 1]
 
 
 def test_strict_srt(spark):
