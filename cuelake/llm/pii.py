@@ -94,8 +94,9 @@ def base_spans(text: str) -> list[Span]:
 _JOIN = r"[ ().\-/_\xa0]{1,2}"
 _NUMBER = re.compile(rf"[0-9]+(?:{_JOIN}[0-9]+)*")
 _LED, _FOLLOWED = re.compile(rf"([0-9]+)({_JOIN})$"), re.compile(rf"({_JOIN})([0-9]+)")
-_AT = re.compile(r"\(at\)|\[at\]|\bat\b", re.IGNORECASE)
-_HOST = re.compile(r" ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\bdot\b|\.) ?[A-Za-z0-9-]{2,63})+", re.IGNORECASE)
+#: Spaces, dashes and low lines may stand around a spelled sign, but nothing behind a plain dot: there a sentence ends.
+_AT = re.compile(r"[ _-]{0,2}(?:\(at\)|\[at\]|(?<=[ _-])at(?=[ _-]))[ _-]{0,2}", re.IGNORECASE)
+_HOST = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:[ _-]{0,2}(?:\(dot\)|\[dot\]|(?<=[ _-])dot(?=[ _-]))[ _-]{0,2}|\.)[A-Za-z0-9-]{2,63})+", re.IGNORECASE)
 _HEX = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
 _CUES = {
     "phone": re.compile(r"\b(?:phone|tel|telephone|call|mobile|cell|fax|whatsapp|téléphone|telefon|teléfono)\b\W*(?:me |us |at |is |no |number )*\W*$", re.IGNORECASE),
@@ -129,8 +130,7 @@ def candidates(text: str) -> Iterator[Span]:
     last = 0
     for m in _AT.finditer(text):
         if m.start() >= last and (host := _HOST.match(text, m.end())):
-            end = m.start() - (text[m.start() - 1 : m.start()] == " ")
-            start = end
+            start = end = m.start()
             while start > last and text[start - 1] in _LOCAL:
                 start -= 1
             if start < end:
@@ -177,7 +177,7 @@ def cases(n: int = CASES, seed: int = SEED) -> tuple[list[str], list[Span], np.n
         return pick(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{pick('1', '44', '49', '33')} {a} {b} {c}", f"+1/{a}/{b}/{c}", f"1-{a}-{b}-{c}")
 
     def spelled() -> str:
-        at, dot = pick(("(at)", "(dot)"), ("[at]", "[dot]"), (" at ", " dot "), (" (at) ", " (dot) "))
+        at, dot = pick(("(at)", "(dot)"), ("[at]", "[dot]"), (" at ", " dot "), (" (at) ", " (dot) "), (" [at] ", "."), ("_at_", "."), (" -at- ", " -dot- "), (" AT ", " DOT "))
         return f"{letters(5)}{pick('', '.')}{letters(4)}{at}{letters(6)}{dot}{pick('com', 'org', 'net', 'de', 'fr')}"
 
     def six() -> str:
@@ -188,7 +188,7 @@ def cases(n: int = CASES, seed: int = SEED) -> tuple[list[str], list[Span], np.n
         return pick(f"{y}-{m:02}-{d:02} {rng.integers(24):02}", f"{d:02}/{m:02}/{y}", f"{y}{m:02}{d:02}_{number(6)}", f"{y}-{m:02}-{d:02}")
 
     def prose() -> str:
-        return f"{letters(6)} at {letters(7)}. {letters(5)}"
+        return f"{letters(6)} at {letters(7)}.{pick('', ' ')}{letters(5).capitalize()}" if rng.random() < 0.5 else f"{letters(rng.integers(2, 7))} at {letters(rng.integers(3, 8))} dot {letters(rng.integers(5, 8))}"
 
     def clock() -> str:
         return ":".join(f"{rng.integers(60):02}" for _ in range(3))
@@ -325,7 +325,7 @@ def redact(text: str, spans: Iterable[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-_SOME = re.compile(r"[0-9@]|\bat\b|:[a-f]{0,4}:", re.IGNORECASE)
+_SOME = re.compile(r"[0-9@]|(?<![A-Za-z0-9])at(?![A-Za-z0-9])|:[a-f]{0,4}:", re.IGNORECASE)
 
 
 def _batches(detector: Detector, with_text: bool):

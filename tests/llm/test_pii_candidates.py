@@ -71,3 +71,24 @@ def test_unseen_cases_are_settled_by_the_trees():
 def test_very_many_numbers_take_time_in_proportion():
     detector, text = pii.train(), "call 212-555-1234, " * 20_000
     assert len(detector.found(text, pii.base_spans(text))) == 20_000
+
+
+@pytest.mark.parametrize("text", ["anndshen at areedtionea. Tian went", "toththanwh at thlyonin. The rest", "onst. At and. Erntor. Onenshea. The end", "look at this. Then go", "we stood at point. Dot had gone", "meet at noon - or later"])
+def test_prose_across_a_sentences_end_is_no_address(detector, text):
+    assert pii.search(text, detector)[1] == []
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["jane(at)example(dot)com", "bob [at] corp.co.uk", "mail jane_at_example.com today", "anna -at- example -dot- org", "kim at mail dot example dot net", "Write to J.DOE AT EXAMPLE DOT ORG please", "ask lee.wong (at) uni.example [dot] edu now"],
+)
+def test_spelled_addresses_are_found_without_a_cue(detector, text):
+    assert [k for k, *_ in pii.search(text, detector)[1]] == ["email"]
+
+
+def test_no_added_address_in_the_tables(detector):
+    """The tables' prose spells no address, and has many an `at` before a sentence's end."""
+    import duckdb
+
+    texts = [t for (t,) in duckdb.connect().execute("SELECT text FROM '/root/testdata/sf0.1/documents.parquet' WHERE contains(text, ' at ')").fetchall()]
+    assert len(texts) > 100 and not [m for t in texts for m in pii.search(t, detector)[1] if m[0] == "email"]
