@@ -8,6 +8,7 @@ from cuelake.operators import process as P
 from cuelake.plans import workload as D
 from cuelake.plans.registry import query
 from cuelake.plans.workload import sql
+from cuelake.sources import logsource as L
 from cuelake.sources import subtitles as S
 from cuelake.sources.storage import fresh
 from cuelake.streaming import events as E
@@ -224,3 +225,33 @@ def src21(spark, d):
     log.write.json(path)
     gaps = S.log_gaps(S.read_event_log(spark, path))
     return gaps.select(F.col("task_id").cast("long").alias("task_id"), "sequence", "expected")
+
+
+_KEPT = "SELECT task_id, count(*) AS events, max(sequence) AS last, sum(sequence)::BIGINT AS total FROM task_events WHERE event_id % 30 <> 0 {0} GROUP BY task_id"
+
+
+def _written_log(spark, d, name: str) -> str:
+    path = fresh(spark, name)
+    log = D.task_events(spark, d).where("event_id % 30 <> 0")
+    log.select(*[F.col(c).cast("string").alias(c) for c in ("event_id", "task_id", "occurred_at", "type")], "sequence").write.json(path)
+    return path
+
+
+def _counted(events):
+    sums = events.groupBy(F.col("task_id").cast("long").alias("task_id")).agg(F.count("*").alias("events"), F.max("sequence").alias("last"), F.sum("sequence").alias("total"))
+    return sums.select("task_id", "events", "last", "total")
+
+
+@query("src21_log_source", sql(_KEPT.format("AND sequence > 3")))
+def src21_source(spark, d):
+    """A log read in byte ranges; the lower bound of the numbers is applied by the source."""
+    L.register(spark)
+    return _counted(spark.read.format("event_log").option("blockSize", 4096).load(_written_log(spark, d, "src21-source")).where("sequence > 3"))
+
+
+@query("stm1_log_tail", sql(_KEPT.format("")))
+def stm1_tail(spark, d):
+    """The same log followed as a stream of whole lines."""
+    L.register(spark)
+    path = _written_log(spark, d, "stm1-log")
+    return _counted(E.run(spark.readStream.format("event_log").option("blockSize", 65536).load(path), "stm1-tail"))
