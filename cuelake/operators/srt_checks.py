@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cuelake.functions import text as T
 from cuelake.functions import visible as V
+from cuelake.sources.storage import fresh
 
 #: Checks that also report when they pass.
 REPORTED = ("SRT_UTF8", "SRT_SEQUENCE", "SRT_TIME_FORMAT", "SRT_TEXT", "SRT_VISIBLE_SUBTITLE_STYLE", "SRT_TIMELINE", "SRT_LINE_COUNT", "SRT_LINE_LENGTH", "SRT_CALIBRATED_MAPPING")
@@ -20,6 +21,13 @@ def _found(*tests: tuple[str, Column, str | Column]) -> Column:
     return F.filter(F.array(*rows), lambda x: x.isNotNull())
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """What several checks read is made once."""
+    path = fresh(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _removed(text: Column) -> Column:
     return V.visible(T.flat_text(text))["removed"]
 
@@ -34,6 +42,7 @@ def validate(files: DataFrame, expected: DataFrame, mode: str = "text-only", pur
     transcribed, text_only = purpose == "transcribed", mode == "text-only"
     plain = F.replace("source", F.lit("\r\n"), F.lit("\n"))
     rest = F.replace("source", F.lit("\r\n"), F.lit(""))
+    expected = _written(expected, "srt-expected")
     whole = files.select(
         "key", "duration_ms",
         _found(
@@ -44,6 +53,7 @@ def validate(files: DataFrame, expected: DataFrame, mode: str = "text-only", pur
         ).alias("found"),
         F.filter(F.split(F.regexp_replace(plain, "\n$", ""), "\n\n"), lambda b: plain != "").alias("blocks"),
     )
+    whole = _written(whole, "srt-files")
     per_block = whole.select("key", "duration_ms", F.posexplode("blocks").alias("block", "b")).withColumn("lines", F.split("b", "\n"))
     timing = F.get("lines", F.lit(1))
     start, end = T.parse_time(F.regexp_extract(timing, _LINE, 1)), T.parse_time(F.regexp_extract(timing, _LINE, 2))
@@ -54,11 +64,12 @@ def validate(files: DataFrame, expected: DataFrame, mode: str = "text-only", pur
     )
     body = F.slice("lines", 3, F.greatest(F.size("lines") - 2, F.lit(0)))
     parsed = per_block.select("key", "duration_ms", "block", broken.alias("broken"), start.alias("s"), end.alias("e"), body.alias("body"), F.array_join(body, "\n").alias("t"))
+    parsed = _written(parsed, "srt-blocks")
     good = parsed.where("broken is null")
     in_file = W.partitionBy("key").orderBy("block")
     placed = good.select("*", (F.row_number().over(in_file) - 1).cast("long").alias("idx"), F.lag("e").over(in_file).alias("before"), T.characters(F.col("t")).alias("n"), removed(F.col("t")).alias("marks"))
     cues = expected.select("key", F.col("idx").cast("long").alias("idx"), F.col("start_ms").alias("xs"), F.col("end_ms").alias("xe"), T.flat_text(F.col("text")).alias("xt"), "reference_start", "reference_end")
-    mapped = placed.join(cues, ["key", "idx"], "left")
+    mapped = _written(placed.join(cues, ["key", "idx"], "left"), "srt-mapped")
     ms = F.col("e") - F.col("s")
     issues = mapped.select(
         "key",
