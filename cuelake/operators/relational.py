@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Interval joins: the finest block of time, how many blocks make one of the next level, and the number of levels above.
+#: Time buckets of joins of short intervals: an interval meets only those that share a bucket with it.
+BUCKET_MS = 10_000
+#: Joins of intervals of any length: the finest block of time, how many blocks make one of the next level, and the number of levels above.
 BLOCK_MS, RADIX, LEVELS = 8_192, 16, 4
 
 
@@ -14,6 +16,24 @@ def in_order(task: str = "task_id", by: str = "idx"):
     return W.partitionBy(task).orderBy(by)
 
 
+def overlapping(left: DataFrame, right: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """Pairs of a task whose times overlap (each with `task_id`, `start_ms`, `end_ms`; right's columns must else differ).
+
+    For short intervals: each is cut into all its buckets. The equi-key is task and time bucket, so a long recording is not one nested loop. A pair that shares several
+    buckets is taken in the one where its overlap starts.
+    """
+
+    def bucketed(df: DataFrame, s: str, e: str) -> DataFrame:
+        first, last = F.floor(F.col(s) / bucket_ms), F.floor((F.greatest(F.col(e) - 1, F.col(s))) / bucket_ms)
+        return df.withColumn("__bucket", F.explode(F.sequence(first, last)))
+
+    r = right.withColumnsRenamed({"start_ms": "r_start_ms", "end_ms": "r_end_ms"})
+    joined = bucketed(left, "start_ms", "end_ms").join(bucketed(r, "r_start_ms", "r_end_ms"), ["task_id", "__bucket"])
+    overlaps = (F.col("r_end_ms") > F.col("start_ms")) & (F.col("r_start_ms") < F.col("end_ms"))
+    own = F.floor(F.greatest("start_ms", "r_start_ms") / bucket_ms) == F.col("__bucket")
+    return joined.where(overlaps & own).drop("__bucket")
+
+
 def _blocks(lo: Column, hi: Column, radix: int, levels: int) -> tuple[Column, Column]:
     """Of the finest blocks lo to hi - 1: the fewest blocks of all levels that cover them, and the blocks that they cover in part, as (level, node)."""
     none = F.array().cast("array<struct<level:int,node:bigint>>")
@@ -39,7 +59,7 @@ def _blocks(lo: Column, hi: Column, radix: int, levels: int) -> tuple[Column, Co
     return F.concat(*cover), F.concat(*part) if part else none
 
 
-def overlapping(left: DataFrame, right: DataFrame, block_ms: int = BLOCK_MS, radix: int = RADIX, levels: int = LEVELS) -> DataFrame:
+def overlapping_any_length(left: DataFrame, right: DataFrame, block_ms: int = BLOCK_MS, radix: int = RADIX, levels: int = LEVELS) -> DataFrame:
     """Pairs of a task whose times overlap (each with `task_id`, `start_ms`, `end_ms`; right's columns must else differ).
 
     Time is divided into blocks, `radix` of which make one of the next level. An interval has the few blocks of all levels that
@@ -48,20 +68,19 @@ def overlapping(left: DataFrame, right: DataFrame, block_ms: int = BLOCK_MS, rad
     So the equi-key is task, level and block, a long recording is no nested loop, and a long interval isn't cut into all its finest blocks.
     """
 
-    def cut(df: DataFrame, s: str, e: str) -> DataFrame:
+    def cut(df: DataFrame, s: str, e: str, filled: tuple[int, ...], torn: int) -> DataFrame:
         lo, hi = F.floor(F.col(s) / block_ms), F.floor(F.greatest(F.col(e) - 1, F.col(s)) / block_ms) + 1
         ends = df.withColumns({"__lo": lo, "__hi": hi})
         cover, part = _blocks(F.col("__lo"), F.col("__hi"), radix, levels)
-        full = lambda which, yes: F.transform(which, lambda n: F.struct(F.lit(yes).alias("__full"), n["level"].alias("__level"), n["node"].alias("__node")))
-        return ends.withColumn("__blocks", F.concat(full(cover, True), full(part, False))).drop("__lo", "__hi").select("*", F.inline("__blocks")).drop("__blocks")
+        told = lambda which, tag: F.transform(which, lambda n: F.struct(F.lit(tag).alias("__tag"), n["level"].alias("__level"), n["node"].alias("__node")))
+        return ends.withColumn("__blocks", F.concat(*[told(cover, k) for k in filled], told(part, torn))).drop("__lo", "__hi").select("*", F.inline("__blocks")).drop("__blocks")
 
-    l, r = cut(left, "start_ms", "end_ms"), cut(right.withColumnsRenamed({"start_ms": "r_start_ms", "end_ms": "r_end_ms"}), "r_start_ms", "r_end_ms")
-    keys, r = ["task_id", "__level", "__node"], r.withColumnRenamed("__full", "__r_full")
+    # the tag keeps blocks that both fill in part from meeting, so hot ones of the upper levels aren't joined
+    l = cut(left, "start_ms", "end_ms", (0,), 1)
+    r = cut(right.withColumnsRenamed({"start_ms": "r_start_ms", "end_ms": "r_end_ms"}), "r_start_ms", "r_end_ms", (0, 1), 0)
     overlaps = (F.col("r_end_ms") > F.col("start_ms")) & (F.col("r_start_ms") < F.col("end_ms"))
     own = F.floor(F.greatest("start_ms", "r_start_ms") / (F.lit(block_ms) * F.pow(F.lit(radix), F.col("__level")).cast("bigint"))) == F.col("__node")
-    # blocks that both fill in part meet no one: the key says which side fills it, so hot ones of the upper levels aren't joined
-    sides = l.where("__full").join(r, keys).unionByName(l.where("NOT __full").join(r.where("__r_full"), keys))
-    return sides.where(overlaps & own).drop("__level", "__node", "__full", "__r_full")
+    return l.join(r, ["task_id", "__level", "__node", "__tag"]).where(overlaps & own).drop("__level", "__node", "__tag")
 
 
 def previous(df: DataFrame, column: str, default=None, by: str = "idx") -> Column:

@@ -85,6 +85,14 @@ def jn8(spark, d):
     return R.overlapping(D.findings(spark, d), D.segments(spark, d)).select("task_id", "finding_id", "segment_id")
 
 
+@query("jn8_long_spans", sql("SELECT s.task_id, s.segment_id, count(*) AS findings, max(f.end_ms) AS last_end FROM (SELECT task_id, segment_id, start_ms, start_ms + 600000 AS end_ms FROM segments) s JOIN findings f ON f.task_id = s.task_id AND f.start_ms < s.end_ms AND f.end_ms > s.start_ms GROUP BY ALL"))
+def jn8_long(spark, d):
+    """The findings of the ten minutes from each cue on."""
+    spans = D.segments(spark, d).select("task_id", "segment_id", "start_ms", (F.col("start_ms") + 600_000).alias("end_ms"))
+    pairs = R.overlapping_any_length(spans, D.findings(spark, d))
+    return pairs.groupBy("task_id", "segment_id").agg(F.count("*").alias("findings"), F.max("r_end_ms").alias("last_end"))
+
+
 @query("jn9_chunk_evidence", sql("SELECT f.task_id, finding_id, string_agg(segment_id || ': ' || text, chr(10) ORDER BY idx) AS evidence FROM findings f JOIN segments s ON s.task_id = f.task_id AND s.start_ms < f.end_ms AND s.end_ms > f.start_ms GROUP BY ALL"))
 def jn9(spark, d):
     pairs = R.overlapping(D.findings(spark, d), D.segments(spark, d))

@@ -23,7 +23,7 @@ def test_pairs_are_all_that_overlap(spark, shape):
         return out
 
     left, right = rows(120), rows(120)
-    got = R.overlapping(spark.createDataFrame(left, A), spark.createDataFrame(right, B), *shape).select("task_id", "a", "b").collect()
+    got = R.overlapping_any_length(spark.createDataFrame(left, A), spark.createDataFrame(right, B), *shape).select("task_id", "a", "b").collect()
     want = {(t, i, j) for t, i, s, e in left for u, j, x, y in right if t == u and y > s and x < e}
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
