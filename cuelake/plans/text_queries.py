@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cuelake.functions import text as T
+from cuelake.operators import names as N
 from cuelake.plans import workload as D
 from cuelake.plans.registry import query
 from cuelake.plans.workload import sql
@@ -124,7 +125,7 @@ _TYPED = "SELECT DISTINCT left(name, p_size % length(name)) || substr(name, p_si
 WITH c AS (SELECT unnest({list(_COMMANDS)!r}) AS name), t AS ({_TYPED.format(f"{list(_COMMANDS)!r}[p_partkey % {len(_COMMANDS)} + 1]")})
 SELECT typed, name, distance FROM (
   SELECT typed, name, levenshtein(typed, name)::INT AS distance, row_number() OVER (PARTITION BY typed ORDER BY levenshtein(typed, name), name) AS k FROM t, c
-) WHERE k = 1 AND distance <= greatest(1, least(3, length(typed) // 3))""")
+) WHERE k = 1 AND distance <= greatest(1, least(3, greatest(length(typed), length(name)) // 3))""")
 def str23(spark, d):
     """The nearest of a few known names, of names that lack up to two letters. They are a fixed list, so each typed word is compared in place."""
     name = F.element_at(F.array(*map(F.lit, _COMMANDS)), (F.col("p_partkey") % len(_COMMANDS) + 1).cast("int"))
@@ -132,7 +133,34 @@ def str23(spark, d):
     typed = named.select(F.concat(F.left("name", cut), F.substring("name", cut + 1 + (F.col("p_partkey") % 3).cast("int"), F.length("name"))).alias("typed")).distinct()
     best = F.array_min(F.array(*[F.struct(F.levenshtein("typed", F.lit(c)).alias("distance"), F.lit(c).alias("name")) for c in _COMMANDS]))
     near = typed.withColumn("best", best).select("typed", "best.name", "best.distance")
-    return near.where("distance <= greatest(1, least(3, length(typed) div 3))")
+    return near.where(F.col("distance") <= N.allowed(F.col("typed"), F.col("name")))
+
+
+_NEAREST = """SELECT typed, name, distance FROM (
+  SELECT typed, name, levenshtein(typed, name)::INT AS distance, row_number() OVER (PARTITION BY typed ORDER BY levenshtein(typed, name), name) AS k FROM t, n
+) WHERE k = 1 AND distance <= greatest(1, least(3, greatest(length(typed), length(name)) // 3))"""
+
+
+@query("str23_nearest_part", f"""
+WITH n AS (SELECT DISTINCT p_name AS name FROM part), cut AS (SELECT p_name AS name, (p_size % length(p_name))::INT AS place, (p_partkey % 5)::INT AS fewer, repeat('q', (p_size % 3)::INT) AS more FROM part),
+t AS (SELECT DISTINCT left(name, place) || more || substr(name, place + 1 + fewer) AS typed FROM cut)
+{_NEAREST}""")
+def str23_part(spark, d):
+    """The nearest part name of names in which up to four letters are left out and up to two put in."""
+    cut = F.col("p_size") % F.length("p_name")
+    typed = F.concat(F.left("p_name", cut), F.repeat(F.lit("q"), F.col("p_size") % 3), F.substring("p_name", cut + 1 + (F.col("p_partkey") % 5).cast("int"), F.length("p_name")))
+    part = D.table(spark, d, "part")
+    return N.nearest(part.select(typed.alias("typed")), part.select(F.col("p_name").alias("name")))
+
+
+@query("str23_nearest_words", f"""
+WITH w AS (SELECT word, count(*) AS c FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM conversations) GROUP BY word),
+n AS (SELECT word AS name FROM w WHERE c >= 5), t AS (SELECT word AS typed FROM w WHERE c = 1)
+{_NEAREST}""")
+def str23_words(spark, d):
+    """The nearest usual word of words that conversations have once."""
+    words = D.table(spark, d, "conversations").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))).alias("word")).groupBy("word").count()
+    return N.nearest(words.where("count = 1").select(F.col("word").alias("typed")), words.where("count >= 5").select(F.col("word").alias("name")))
 
 
 @query("str27_cursor", """
