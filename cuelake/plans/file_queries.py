@@ -19,6 +19,7 @@ from cuelake.plans.text_queries import CELL, COUNT, MATCH, SECRET
 from cuelake.plans.workload import sql
 from cuelake.sources import mp3
 from cuelake.sources import subtitles as S
+from cuelake.sources.delivery import delivery_history, read_delivered, write_deliveries
 from cuelake.sources.storage import fresh, put
 
 KEY = ("task_id", "idx")
@@ -165,6 +166,41 @@ def snk10(spark, d):
     return P.deliver(approved, history)
 
 
+_TASK_SRT = f"SELECT task_id, {_SRT} || chr(10) AS content FROM segments GROUP BY task_id"
+
+
+@query("snk10_delivered_files", sql(f"""SELECT 'talk.' || task_id || '.approved.' || left(sha256(content), 12) || '.srt' AS name, sha256(content) AS sha256, strlen(content) AS bytes, conflict,
+  CASE WHEN NOT conflict THEN sha256(content) END AS file_sha256
+FROM (SELECT task_id, content, FALSE AS conflict FROM ({_TASK_SRT}))
+UNION ALL SELECT 'talk.' || task_id || '.approved.' || left(sha256(content), 12) || '.srt', sha256(content || 'x'), strlen(content) + 1, TRUE, NULL FROM ({_TASK_SRT}) WHERE task_id % 5 = 0"""))
+def snk10_files(spark, d):
+    """Each task's approved subtitles are delivered, delivered again, and some with other bytes; then the history and the files are read."""
+    path = fresh(spark, "delivered")
+    kept = fresh(spark, "approved")
+    files = S.write_srt(D.segments(spark, d)).select("key", F.col("source").alias("content"))
+    files.select("key", P.delivery_name(F.lit("talk"), F.col("key"), F.sha2("content", 256)).alias("name"), "content").write.parquet(kept)
+    approved = spark.read.parquet(kept)
+    write_deliveries(approved, path)
+    write_deliveries(approved.repartition(5), path)
+    write_deliveries(approved.where("key % 5 = 0").withColumn("content", F.concat("content", F.lit("x"))), path)
+    back = read_delivered(spark, path).select("name", F.sha2("content", 256).alias("file_sha256"), F.lit(False).alias("conflict"))
+    return delivery_history(spark, path).join(back, ["name", "conflict"], "left")
+
+
+@query("snk11_snapshot_files", """SELECT p_size AS dictionary_id, sha256(content) AS sha256, content FROM (
+  SELECT p_size, '[' || string_agg(DISTINCT '"' || p_type || '"', ',' ORDER BY '"' || p_type || '"') || ']' AS content FROM part GROUP BY p_size
+  UNION SELECT p_size, '[' || string_agg(DISTINCT '"' || p_type || '"', ',' ORDER BY '"' || p_type || '"') || ']' FROM part WHERE p_partkey % 3 > 0 GROUP BY p_size)""")
+def snk11_files(spark, d):
+    """Two versions of each dictionary, kept under the hash of their content; one that didn't change is kept once."""
+    path = fresh(spark, "snapshots")
+    for kept in ("true", "p_partkey % 3 > 0"):
+        content = F.to_json(F.array_sort(F.collect_set("p_type"))).alias("content")
+        versions = D.table(spark, d, "part").where(kept).groupBy("p_size").agg(content)
+        write_deliveries(versions.withColumn("name", F.concat_ws("/", "p_size", F.concat(F.sha2("content", 256), F.lit(".json")))), path)
+    read = read_delivered(spark, path).withColumn("content", F.col("content").cast("string"))
+    return read.select(F.split_part("name", F.lit("/"), F.lit(1)).cast("int").alias("dictionary_id"), F.sha2("content", 256).alias("sha256"), "content")
+
+
 @query("snk11_new_versions", "SELECT DISTINCT o_custkey AS dictionary_id, sha256(o_orderpriority) AS sha256 FROM orders WHERE (o_custkey, o_orderpriority) NOT IN (SELECT o_custkey, o_orderpriority FROM orders WHERE o_orderkey % 4 = 0)")
 def snk11(spark, d):
     rows = D.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("dictionary_id"), F.sha2("o_orderpriority", 256).alias("sha256"))
