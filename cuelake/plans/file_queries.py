@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuelake.functions import text as T
 from cuelake.functions import visible as V
 from cuelake.operators import adapters as X
 from cuelake.operators import align as A
+from cuelake.operators import packing as K
 from cuelake.operators import process as P
 from cuelake.operators import relational as R
 from cuelake.operators import srt_checks as Q
@@ -348,26 +350,36 @@ def wn15(spark, d):
     return pair.select(*KEY, F.array_join(V.replaced_across(F.col("texts"), F.col("w"), F.concat("w", F.lit("x"))), "").alias("replaced"))
 
 
-@query("wn12_packed_chunks")
+_PACKED = f"""WITH RECURSIVE {D.SQL}, sized AS (
+  SELECT task_id, row_number() OVER (PARTITION BY task_id ORDER BY idx, word) - 1 AS n, count(*) OVER (PARTITION BY task_id) AS frames, 400 + 10 * length(text) AS bytes FROM words
+), ends AS (SELECT task_id, max(end_ms) AS file_ms FROM segments GROUP BY task_id), cuts AS (
+  SELECT task_id, n, n = frames - 1 AS final, sum(bytes) OVER (PARTITION BY task_id ORDER BY n) AS place,
+         CASE WHEN n = frames - 1 THEN file_ms ELSE least(file_ms, floor((26 * (n + 1))::DOUBLE * (file_ms::DOUBLE / (26 * frames)::DOUBLE) + 0.5::DOUBLE)::BIGINT) END AS ms
+  FROM sized JOIN ends USING (task_id) UNION ALL SELECT task_id, -1, FALSE, 0, 0 FROM ends
+), fits AS (
+  SELECT task_id, n, place, final, last(n) OVER w AS fit, last(ms) OVER w AS fit_ms
+  FROM cuts WINDOW w AS (PARTITION BY task_id ORDER BY place RANGE BETWEEN CURRENT ROW AND 6000 FOLLOWING)
+), heard AS (
+  SELECT f.*, c.end_ms AS cue FROM fits f ASOF LEFT JOIN (SELECT DISTINCT task_id, end_ms FROM segments) c ON f.task_id = c.task_id AND f.fit_ms >= c.end_ms
+), near AS (
+  SELECT task_id, end_ms AS cue, min_by(n, abs(ms - end_ms) * 1000000000 + n) AS cue_n FROM cuts JOIN (SELECT DISTINCT task_id, end_ms FROM segments) USING (task_id) WHERE n >= 0 GROUP BY ALL
+), ways AS (SELECT h.*, greatest(cue_n, n + 1) AS cue_n, file_ms FROM heard h LEFT JOIN near USING (task_id, cue) JOIN ends USING (task_id)), walk AS (
+  SELECT task_id, 0 AS chunk, -1::BIGINT AS n, 0::BIGINT AS start_ms FROM ends
+  UNION ALL
+  SELECT k.task_id, chunk + 1, CASE WHEN cue > start_ms THEN cue_n ELSE fit END, CASE WHEN cue > start_ms THEN cue ELSE fit_ms END
+  FROM walk k JOIN ways w ON k.task_id = w.task_id AND k.n = w.n WHERE NOT final
+)
+SELECT task_id, chunk, place AS start, lead(place) OVER t AS "end", start_ms, CASE WHEN lead(final) OVER t THEN file_ms ELSE lead(start_ms) OVER t END AS end_ms
+FROM walk JOIN ways USING (task_id, n) WINDOW t AS (PARTITION BY task_id ORDER BY chunk) QUALIFY "end" IS NOT NULL"""
+
+
+@query("wn12_packed_chunks", _PACKED)
 def wn12(spark, d):
     """A task's words as frames of an audio file, packed into chunks that end with cues."""
-    spoken = D.words(spark, d).withColumn("bytes", 400 + F.length("text") * 10)
-    lists = spoken.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("idx", "word", "bytes"))).alias("f"))
-    ends = D.segments(spark, d).groupBy("task_id").agg(F.array_sort(F.collect_list("end_ms")).alias("cue_ends"))
-    both = lists.join(ends, "task_id").select("task_id", F.transform("f", lambda x: x["bytes"]).alias("sizes"), "cue_ends")
-
-    def run(batches):
-        import pandas as pd
-
-        for batch in batches:
-            rows = []
-            for task, sizes, cue_ends in zip(batch["task_id"], batch["sizes"], batch["cue_ends"], strict=True):
-                sizes, cue_ends = [int(x) for x in sizes], [int(x) for x in cue_ends]
-                cuts = mp3.boundaries(sizes, [26.0] * len(sizes), sum(sizes), cue_ends[-1])
-                rows += [(task, k, *c) for k, c in enumerate(mp3.pack(cuts, cue_ends, 6_000, 8_000))]
-            yield pd.DataFrame(rows, columns=["task_id", "chunk", "start", "end", "start_ms", "end_ms"])
-
-    return both.mapInPandas(run, "task_id long, chunk long, start long, end long, start_ms long, end_ms long")
+    spoken = D.words(spark, d).select("task_id", (F.row_number().over(W.partitionBy("task_id").orderBy("idx", "word")) - 1).alias("n"), (400 + F.length("text") * 10).alias("bytes"), F.lit(26.0).alias("length_ms"))
+    cues = D.segments(spark, d).select("task_id", "end_ms")
+    files = spoken.groupBy("task_id").agg(F.sum("bytes").alias("file_bytes")).join(cues.groupBy("task_id").agg(F.max("end_ms").alias("file_ms")), "task_id")
+    return K.packed(K.cuts(spoken, files), cues, 6_000, 8_000).where("problem IS NULL").drop("problem")
 
 
 # --- aggregates, orders and the correction run -----------------------------------------------------------
