@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -54,6 +55,15 @@ def _audio(spark):
     return files.select(F.regexp_extract("path", "([a-z]+)[.]mp3$", 1).alias("path"), "content")
 
 
+@query("src8_decoded_texts", sql("SELECT task_id, idx, CASE WHEN idx % 7 <> 4 THEN text || chr(10) || text || chr(10) || chr(10) || CASE WHEN idx % 7 = 5 THEN chr(65279) ELSE '' END END AS source FROM segments"))
+def src8(spark, d):
+    """Bytes with a byte-order mark at their start or end, with line ends of three kinds, and with a byte that is no UTF-8."""
+    mark, k = F.unhex(F.lit("EFBBBF")), F.col("idx") % 7
+    body = F.concat("text", F.when(k % 2 == 0, "\r\n").otherwise("\r"), "text", F.lit("\n\r"))
+    raw = F.concat(F.when(k == 3, mark).otherwise(F.unhex(F.lit(""))), F.encode(body, "UTF-8"), F.when(k == 4, F.unhex(F.lit("FF"))).when(k == 5, mark).otherwise(F.unhex(F.lit(""))))
+    return D.segments(spark, d).select(*KEY, S.decode(raw).alias("source"))
+
+
 @query("src10_mp3_durations", "SELECT * FROM (VALUES ('two', TRUE, 52::BIGINT), ('many', TRUE, 1306::BIGINT), ('tagged', TRUE, 78::BIGINT), ('noise', FALSE, NULL)) v(path, mp3, duration_ms)")
 def src10(spark, d):
     """SRC11 too."""
@@ -108,6 +118,25 @@ def src19(spark, d):
     return S.read_dictionary_csv(spark, path).select("entry_id", "canonical", "tags", "variants", "case_sensitive", "enabled")
 
 
+@query("snk9_never_overwritten", """SELECT 'entry-' || p_partkey AS entry_id, p_name AS canonical, format, TRUE AS refused FROM part, (VALUES ('csv'), ('json')) v(format)""")
+def snk9(spark, d):
+    """Dictionaries exported as CSV and as JSON; a second export to the same place is refused, and the first stays as it was."""
+    entries = D.table(spark, d, "part").select(F.concat(F.lit("entry-"), F.col("p_partkey").cast("string")).alias("entry_id"), F.col("p_name").alias("canonical"))
+    exports = {"csv": S.write_dictionary_csv, "json": lambda df, path: df.write.mode("errorifexists").json(path)}
+    out = []
+    for name, export in exports.items():
+        path = fresh(spark, f"snk9-{name}")
+        export(entries, path)
+        try:
+            export(entries.withColumn("canonical", F.lit("other")), path)
+            refused = False
+        except AnalysisException:
+            refused = True
+        kept = spark.read.schema("entry_id string, canonical string").option("header", True).format(name).load(path)
+        out.append(kept.withColumns({"format": F.lit(name), "refused": F.lit(refused)}))
+    return out[0].unionByName(out[1])
+
+
 @query("src20_dictionary_json", "SELECT 'entry-' || p_partkey AS entry_id, [lower(p_brand), 'a \"quoted\", ' || p_type] AS variants FROM part")
 def src20(spark, d):
     path = fresh(spark, "src20")
@@ -468,6 +497,17 @@ def val8(spark, d):
     return Q.validate(given, _expected(cues))
 
 
+@query("val8_marked_srt_checks")
+def val8_marked(spark, d):
+    """The checks of files whose cues are whole: with their digits, sentence marks, links and quantities. Of every other task the file shows what
+    is left without marks, as it should."""
+    shown = F.when(F.col("task_id") % 2 == 0, V.visible(F.col("text"))["text"]).otherwise(F.col("text"))
+    cues = D.segments(spark, d).withColumn("text", F.coalesce(F.nullif(shown, F.lit("")), F.lit("x")))
+    ends = cues.groupBy(F.col("task_id").alias("key")).agg(F.max("end_ms").alias("duration_ms"))
+    files = S.write_srt(cues, final_blank=False).join(ends, "key").withColumn("bom", F.lit(False))
+    return Q.validate(files, _expected(cues))
+
+
 @query("val12_status_ladder", """SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 OR o_orderkey % 17 = 0 OR o_orderkey % 7 = 0 THEN 'failed' WHEN o_orderkey % 5 = 0 THEN 'rejected' WHEN o_orderkey % 9 = 0 OR o_orderkey % 4 = 0 OR o_orderkey % 6 = 1 THEN 'needs_input' ELSE 'completed' END AS status,
 CASE WHEN o_orderkey % 11 = 0 THEN 'UPSTREAM_TRANSCRIPT_INVALID' WHEN o_orderkey % 13 = 0 THEN 'UPSTREAM_CALIBRATION_INVALID' WHEN o_orderkey % 17 = 0 THEN 'UPSTREAM_ARTIFACT_MISMATCH' WHEN o_orderkey % 7 = 0 THEN 'SUGGESTION' WHEN o_orderkey % 5 = 0 THEN 'MODE' WHEN o_orderkey % 9 = 0 THEN 'REFERENCE'
 WHEN o_orderkey % 4 = 0 THEN 'REFERENCE_AUDIO_MISMATCH' WHEN o_orderkey % 6 = 1 THEN 'CALIBRATED_HARD_LIMIT_INVALID_FOR_FIXED_TIMELINE' END AS code FROM orders""")

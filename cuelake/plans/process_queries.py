@@ -21,6 +21,18 @@ def str5(spark, d):
     return D.table(spark, d, "conversations").select("conv_id", "turn", V.visible(F.col("text")).alias("v")).select("conv_id", "turn", "v.*")
 
 
+_ENDS = ("", ".", "!?", ")", "(x)", "(x))", "[(x].)", "/{a}.;", "))]}")
+
+
+@query("str6_trimmed_urls", sql(f"""SELECT task_id, idx, url, url_start || ['', '', '', '', '(x)', '(x)', '[(x].)', '/{{a}}', ''][k] AS trimmed FROM (
+  SELECT task_id, idx, 'https://x.org/' || regexp_extract(text, '[A-Za-z]+') AS url_start, idx % 9 + 1 AS k, url_start || {list(_ENDS)!r}[k] AS url FROM segments)"""))
+def str6(spark, d):
+    """Links of a cue's first word, with sentence marks and with brackets that are closed, left open or never opened."""
+    end = F.element_at(F.array(*map(F.lit, _ENDS)), (F.col("idx") % len(_ENDS) + 1).cast("int"))
+    urls = D.segments(spark, d).select("task_id", "idx", F.concat(F.lit("https://x.org/"), F.regexp_extract("text", "[A-Za-z]+", 0), end).alias("url"))
+    return urls.withColumn("trimmed", V.trimmed_url("url"))
+
+
 @query("str8_visible_review_text")
 def str8(spark, d):
     return D.table(spark, d, "conversations").select("conv_id", "turn", V.visible(T.flat_text(F.col("text")))["text"].alias("text"))

@@ -493,6 +493,51 @@ def st(spark, d):
     )
 
 
+_REFS = """heard AS (SELECT task_id, idx // 5 AS part, list(segment_id ORDER BY idx) AS refs FROM segments GROUP BY ALL),
+said AS (SELECT task_id, idx // 5 AS part, list(segment_ref ORDER BY idx) AS named FROM suggestions GROUP BY ALL),
+both_refs AS (SELECT task_id, part, refs, coalesce(named, []) AS named FROM heard LEFT JOIN said USING (task_id, part))"""
+
+
+def _reference_lists(spark, d):
+    """Of each five cues: their references, and those that suggestions name there, each in order."""
+    listed = lambda df, c, name: df.groupBy("task_id", F.floor(F.col("idx") / 5).alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.col(c).alias("v")))), lambda x: x["v"]).alias(name))
+    named = listed(D.suggestions(spark, d), "segment_ref", "named")
+    return listed(D.segments(spark, d), "segment_id", "refs").join(named, ["task_id", "part"], "left").withColumn("named", F.coalesce("named", F.array().cast("array<string>")))
+
+
+@query("st1_united_references", sql(f"""SELECT task_id, part, list(v ORDER BY place) AS united FROM (
+  SELECT task_id, part, v, min(place) AS place FROM (SELECT *, unnest(list_concat(named, refs)) AS v, unnest(range(len(named) + len(refs))) AS place FROM both_refs) GROUP BY ALL) GROUP BY ALL""").replace(" SELECT task_id, part, list(v", f", {_REFS} SELECT task_id, part, list(v", 1))
+def st1(spark, d):
+    """References united in the order in which they are first seen."""
+    return _reference_lists(spark, d).select("task_id", "part", F.array_union("named", "refs").alias("united"))
+
+
+@query("st3_unknown_references", sql("SELECT DISTINCT task_id, segment_ref FROM suggestions g WHERE NOT EXISTS (FROM segments s WHERE s.task_id = g.task_id AND s.segment_id = g.segment_ref)"))
+def st3(spark, d):
+    """Names in suggestions that no cue of the task has."""
+    known = D.segments(spark, d).select("task_id", F.col("segment_id").alias("segment_ref"))
+    return D.suggestions(spark, d).select("task_id", "segment_ref").distinct().join(known, ["task_id", "segment_ref"], "left_anti")
+
+
+@query("st4_subset_references", sql("SELECT task_id, part, list_has_all(refs, named) AS known FROM both_refs").replace(" SELECT task_id, part, list_has_all", f", {_REFS} SELECT task_id, part, list_has_all", 1))
+def st4(spark, d):
+    """Whether all that is named in a part is in it; nothing named is a subset."""
+    return _reference_lists(spark, d).select("task_id", "part", (F.size(F.array_except("named", "refs")) == 0).alias("known"))
+
+
+_PAIRED = """SELECT task_id, idx, list_reverse(a) = b AS ordered, list_sort(list_distinct(a)) = list_sort(list_distinct(b)) AS unordered
+FROM (SELECT task_id, idx, string_split(text, ' ') AS a, string_split(lead(text) OVER (PARTITION BY task_id ORDER BY idx), ' ') AS b FROM cue_pairs) WHERE b IS NOT NULL"""
+
+
+@query("st5_equal_lists", sql("SELECT 1").replace(" SELECT 1", f", cue_pairs AS (SELECT task_id, idx * 2 + h AS idx, CASE WHEN h = 1 AND idx % 3 > 0 THEN array_to_string(list_reverse(string_split(text, ' ')), ' ') ELSE text END AS text FROM segments, (VALUES (0), (1)) v(h)) {_PAIRED}"))
+def st5(spark, d):
+    """Words of neighbours, each cue being followed by itself, often backwards: equal in backward order, and equal as sets."""
+    words = F.split("text", " ")
+    twice = D.segments(spark, d).select("task_id", "idx", F.posexplode(F.array(words, F.when(F.col("idx") % 3 > 0, F.reverse(words)).otherwise(words))).alias("h", "a")).withColumn("idx", F.col("idx") * 2 + F.col("h"))
+    pairs = twice.select("task_id", "idx", "a", F.lead("a").over(D.in_task()).alias("b")).where("b IS NOT NULL")
+    return pairs.select("task_id", "idx", (F.reverse("a") == F.col("b")).alias("ordered"), (F.sort_array(F.array_distinct("a")) == F.sort_array(F.array_distinct("b"))).alias("unordered"))
+
+
 @query("st2_ordered_union", sql("SELECT task_id, 1 AS list, idx AS pos, segment_id AS id FROM segments UNION ALL SELECT task_id, 2, idx, suggestion_id FROM suggestions"))
 def st2(spark, d):
     first = D.segments(spark, d).select("task_id", F.lit(1).alias("list"), F.col("idx").alias("pos"), F.col("segment_id").alias("id"))

@@ -13,13 +13,17 @@ from cuelake.operators.relational import ordered_text
 MAX_BYTES = 10 * 1024 * 1024
 
 
+def decode(content: Column) -> Column:
+    """Bytes as text: strict UTF-8 (null for other bytes), without a byte-order mark at the start, each kind of line end as a newline."""
+    return T.unify_newlines(F.regexp_replace(F.try_validate_utf8(content.cast("string")), "^\\x{FEFF}", ""))
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(key, bytes, sha256, source, problem) of each file: whole, strict UTF-8, no byte-order mark, one kind of newline."""
     files = spark.read.format("binaryFile").load(path)
-    source = T.unify_newlines(F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), "^\\x{FEFF}", ""))
     valid = F.is_valid_utf8(F.col("content").cast("string"))
     problem = F.when((F.col("length") < 1) | (F.col("length") > MAX_BYTES), "size").when(~valid, "encoding")
-    return files.select(F.col("path").alias("key"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), source.alias("source"), problem.alias("problem"))
+    return files.select(F.col("path").alias("key"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), decode(F.col("content")).alias("source"), problem.alias("problem"))
 
 
 def detect_format(source: Column, path: Column) -> Column:
