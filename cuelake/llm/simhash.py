@@ -52,7 +52,11 @@ def simhash(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-shingle])).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64)
+    return fingerprint(np.array([digest(joined[a:b], seed) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64))
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """The bits that over half of some unsigned 64-bit hashes have set; none of no hashes."""
     octets = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
     ones = np.concatenate([np.bincount(octets[:, k], minlength=256) @ _BITS for k in range(8)])
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
@@ -85,22 +89,51 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, wide: int = WIDE) -> DataFrame:
-    """Edges (src, dst) between distinct fingerprints `fp`, enough to connect every pair within `distance`."""
-    masks = _masks(blocks, distance)
+def _shared_keys(distinct: DataFrame, masks: list[int]) -> DataFrame:
+    """(choice, key, fp, n, least) of the keys that n fingerprints have, more than one."""
     keyed = distinct.select(
         "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("choice", "key")
     )
-    sizes = keyed.groupBy("choice", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialize(keyed.join(sizes, ["choice", "key"]), "simhash-keys")
+    sizes = keyed.groupBy("choice", "key").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1")
+    return materialize(keyed.join(sizes, ["choice", "key"]), "simhash-keys")
+
 
-    a, b = shared.where(F.col("n") <= wide).alias("a"), shared.where(F.col("n") <= wide).alias("b")
-    pairs = (
+def _pairs(shared: DataFrame, distance: int, masks: list[int] | None = None) -> DataFrame:
+    """(src, dst): the fingerprints of a key that differ in at most `distance` bits; with `masks`, only in the first key that they share."""
+    a, b, differ = shared.alias("a"), shared.alias("b"), F.col("a.fp").bitwiseXOR(F.col("b.fp"))
+    close = F.bit_count(differ) <= distance
+    if masks:
+        close &= F.col("a.choice") == F.coalesce(*[F.when(differ.bitwiseAND(F.lit(_signed(m))) == 0, i) for i, m in enumerate(masks)])
+    return (
         a.join(b, (F.col("a.choice") == F.col("b.choice")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")))
-        .where(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance)
+        .where(close)
         .select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
     )
 
+
+def blocks_for(n: int, distance: int, crowd: int) -> int:
+    """The fewest blocks, at least two more than the distance, with which `n` evenly spread fingerprints come to at most `crowd` a key."""
+    blocks = distance + 2
+    while n >> (64 * (blocks - distance) // blocks) > crowd:
+        blocks += 1
+    return blocks
+
+
+def led_links(distinct: DataFrame, distance: int, blocks: int, wide: int) -> DataFrame:
+    """Edges (src, dst) between distinct fingerprints within `distance`, for distances too great to mask: each pair whose
+    first common key has at most `wide` fingerprints, once; of a wider key, those with its least fingerprint. What that leaves out needs another way."""
+    masks = _masks(blocks, distance)
+    shared = _shared_keys(distinct, masks)
+    led = shared.where((F.col("n") > wide) & (F.col("least") < F.col("fp")) & (F.bit_count(F.col("least").bitwiseXOR(F.col("fp"))) <= distance))
+    return _pairs(shared.where(F.col("n") <= wide), distance, masks).union(led.select(F.col("least").alias("src"), F.col("fp").alias("dst"))).distinct()
+
+
+def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, wide: int = WIDE) -> DataFrame:
+    """Edges (src, dst) between distinct fingerprints `fp`, enough to connect every pair within `distance`."""
+    masks = _masks(blocks, distance)
+    shared = _shared_keys(distinct, masks)
+    pairs = _pairs(shared.where(F.col("n") <= wide), distance)
+
     # one row for each choice and each set of masked bits: a few thousand rows, whatever the input
     hidden = distinct.sparkSession.createDataFrame(
         [(i, _signed(x)) for i, m in enumerate(masks) for x in _hidden(m, distance)], "choice int, keep long"

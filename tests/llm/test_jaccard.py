@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from cuelake.llm import jaccard
+from cuelake.llm import jaccard, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -64,3 +64,41 @@ def test_pipeline_stage_removes_edited_copies(spark):
     assert sorted(i for i in kept if i is not None) == sorted(set(brute_groups(texts).values())) and kept.count(None) == 1
     none = frame.where("false")
     assert corpus_pipeline.near_dedup(spark, none, "").count() == 0
+
+
+@pytest.mark.parametrize("full", [512, 1])
+def test_fingerprints_meet_in_blocks_before_prefixes(spark, monkeypatch, full):
+    """Every pair of sets within the distance is compared by way of its fingerprints, and none of their components again."""
+    texts, asked = edited_texts(), []
+    sets = {s.tobytes(): s for s in (jaccard.shingles((t or "").encode()) for t in texts.values())}
+    prints = {int(jaccard.xxhash.xxh64_intdigest(b, jaccard.SEED)): simhash.fingerprint(s) for b, s in sets.items()}
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    prints = {signed(n): fp for n, fp in prints.items()}
+    near = {(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= jaccard.DISTANCE}
+    alike, close_pairs = jaccard._alike, jaccard.close_pairs
+
+    def seen(pairs, *more):
+        asked.append({tuple(sorted((r["a"], r["b"]))) for r in pairs.collect()})
+        return alike(pairs, *more)
+
+    monkeypatch.setattr(jaccard, "_alike", seen)
+    monkeypatch.setattr(jaccard, "close_pairs", lambda nodes: close_pairs(nodes, full))
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], DOCS)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(frame).collect()}
+    assert got == brute_groups(texts) and len(near) >= 20
+    by_node = dict(zip(prints, sets.values(), strict=True))
+    similar = {(a, b) for a, b in asked[0] if 9 * len(jaccard.np.intersect1d(by_node[a], by_node[b])) >= 4 * (len(by_node[a]) + len(by_node[b]))}
+    assert asked[0] <= near and similar and not similar & asked[1]
+    assert full == 1 or asked[0] == near
+
+
+def test_blocks_are_sized_for_the_fingerprints():
+    assert [simhash.blocks_for(n, 6, 256) for n in (0, 100_000, 200_000, 10_000_000, 60_000_000)] == [8, 8, 8, 8, 9]
+
+
+def test_close_fingerprints_meet_once(spark):
+    """A pair comes from one of the keys that it shares, not from all."""
+    frame = spark.createDataFrame([(0,), (1,), (2**40 + 1,), (127,)], "fp long")
+    masks = simhash._masks(8, 6)
+    rows = simhash._pairs(simhash._shared_keys(frame, masks), 6, masks).collect()
+    assert sorted(map(tuple, rows)) == [(0, 1), (0, 2**40 + 1), (1, 127), (1, 2**40 + 1)]
