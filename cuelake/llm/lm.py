@@ -10,11 +10,12 @@ A document's score is the sum of the log-probabilities of its words, each given
    position's embeddings are added up and squashed; from them the network predicts the class by a softmax, and the
    word by a decision at each node of its path. Both depend on the context, and the probabilities of all ids add up
    to 1. Within a bucket all words have the same share.
-3. There are `ROUNDS` rounds, each with its own part of the documents, all of them together with each document once.
+3. Texts become ids once, 16 bits a word, in a table that all rounds and the scoring read.
+4. There are `ROUNDS` rounds, each with its own part of the documents, all of them together with each document once.
    In a round each task trains the network on its documents of that part. The networks, weighted by their numbers of
    words, are averaged in a tree of tasks that each hold two of them at a time, so what is gathered grows with the
    input but no task or driver holds it whole; the next round starts from the average.
-4. The averaged network is broadcast and scores every document. Its size is bounded by `MOST`.
+5. The averaged network is broadcast and scores every document. Its size is bounded by `MOST`.
 
 The same files and settings give the same scores. Another split of the input into tasks changes them little: the
 networks meet after each round.
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -243,21 +245,40 @@ class Trainer:
         net.bias -= RATE * grad / np.sqrt(self.seen_bias)
 
 
-def _tokens(texts: Iterable, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _id_batches(words):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Words(*words.value)
+        mark = xxhash.xxh64_hexdigest(b"\0".join([*vocabulary.ids, vocabulary.prior.tobytes()]))
+        known = once_a_process(f"lm words {mark}", lambda: Memo(vocabulary.id_of, WORDS_KEPT))
+        for batch in batches:
+            tokens = ((t.as_py() or b"").lower().split() for t in batch.column(2).cast(pa.binary()))
+            ids = [array("H", map(known.__getitem__, t)).tobytes() for t in tokens]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["doc_id", "round", "ids"])
+
+    return run
+
+
+def encode(docs: DataFrame, words: Words, rounds: int = ROUNDS) -> DataFrame:
+    """(doc_id, round, ids) for every row: the round that trains on it, and the ids of its words, 16 bits each."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.xxhash64(text), F.lit(rounds)).cast("int").alias("round"), text.alias("text"))
+    return rows.mapInArrow(_id_batches(docs.sparkSession.sparkContext.broadcast(words.parts())), "doc_id long, round int, ids binary")
+
+
+def _tokens(rows: Iterable, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(ids, start of each text among them, number of its tokens) of some texts at a time, with `REACH` gaps around each; a very long text comes whole."""
-    mark = xxhash.xxh64_hexdigest(b"\0".join([*words.ids, words.prior.tobytes()]))
-    known, gap = once_a_process(f"lm words {mark}", lambda: Memo(words.id_of, WORDS_KEPT)), np.full(REACH, words.gap, np.int32)
+    gap = np.full(REACH, words.gap, np.int32)
     parts, counts, size = [gap], [], 0
 
     def out() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sizes = np.array(counts)
         return np.concatenate(parts), np.cumsum(sizes + REACH) - sizes, sizes
 
-    for text in texts:
-        tokens = (text.as_py() or b"").lower().split()
-        parts += [np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens)), gap]
-        counts.append(len(tokens))
-        size += len(tokens)
+    for row in rows:
+        ids = np.frombuffer(row.as_buffer(), np.uint16)
+        parts += [ids, gap]
+        counts.append(len(ids))
+        size += len(ids)
         if size >= CHUNK:
             yield out()
             parts, counts, size = [gap], [], 0
@@ -276,8 +297,8 @@ def _train_batches(words, flat):
         known = Words(*words.value)
         net = Network.of(flat.value.copy(), known)
         trainer, n = Trainer(net, known), 0
-        texts = (t for batch in batches for t in batch.column(0).cast(pa.binary()))
-        for ids, _, sizes in _tokens(texts, known):
+        rows = (r for batch in batches for r in batch.column(0))
+        for ids, _, sizes in _tokens(rows, known):
             n += int(sizes.sum())
             for a, b in _slices(ids):
                 trainer.step(ids[a - REACH : b + REACH], ids[a:b])
@@ -308,13 +329,12 @@ def _mean(nets: DataFrame) -> np.ndarray | None:
     return np.frombuffer(row["net"], np.float32).copy() if row else None
 
 
-def train(docs: DataFrame, words: Words, rounds: int = ROUNDS) -> Network:
-    """The average of the networks that the tasks train, after all rounds."""
-    context = docs.sparkSession.sparkContext
+def train(encoded: DataFrame, words: Words, rounds: int = ROUNDS) -> Network:
+    """The average of the networks that the tasks train, after all rounds; `encoded` is a written table of `encode`."""
+    context = encoded.sparkSession.sparkContext
     shared, net = context.broadcast(words.parts()), Network.start(words)
-    texts = docs.select(F.col("text").cast("string").alias("text"))
     for k in range(rounds):
-        part = texts.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k)
+        part = encoded.where(F.col("round") == k).select("ids")
         flat = _mean(materialize(part.mapInArrow(_train_batches(shared, context.broadcast(net.flat)), "weight long, net binary"), "lm-networks"))
         net = net if flat is None else Network.of(flat, words)
     return net
@@ -326,7 +346,7 @@ def _score_batches(words, flat):
         net, classes, share = Network.of(flat.value, known), np.append(known.cls, 0), np.append(known.share, 0.0)
         for batch in batches:
             sums, counts = [], []
-            for ids, starts, sizes in _tokens(batch.column(1).cast(pa.binary()), known):
+            for ids, starts, sizes in _tokens(batch.column(1), known):
                 logs = np.zeros(len(ids))
                 for a, b in _slices(ids):
                     target = ids[a:b]
@@ -344,15 +364,30 @@ def _score_batches(words, flat):
     return run
 
 
-def score(docs: DataFrame, words: Words, net: Network) -> DataFrame:
+def score_encoded(encoded: DataFrame, words: Words, net: Network) -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, per_token): the sum of the words' conditional log-probabilities, and its mean."""
-    context = docs.sparkSession.sparkContext
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = rows.mapInArrow(_score_batches(context.broadcast(words.parts()), context.broadcast(net.flat)), "doc_id long, n_tokens long, log_likelihood double")
+    context = encoded.sparkSession.sparkContext
+    scored = encoded.select("doc_id", "ids").mapInArrow(_score_batches(context.broadcast(words.parts()), context.broadcast(net.flat)), "doc_id long, n_tokens long, log_likelihood double")
     return scored.withColumn("per_token", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
 
 
-def fit(docs: DataFrame) -> tuple[Words, Network]:
+def score(docs: DataFrame, words: Words, net: Network) -> DataFrame:
+    """As `score_encoded`, for any documents."""
+    return score_encoded(encode(docs, words), words, net)
+
+
+def _fit(docs: DataFrame) -> tuple[Words, Network, DataFrame]:
     with passing(docs.sparkSession):
         words = make_words(materialize(count_words(docs), "lm-words"))
-        return words, train(docs, words)
+        encoded = materialize(encode(docs, words), "lm-ids", keep=True)
+        return words, train(encoded, words), encoded
+
+
+def fit(docs: DataFrame) -> tuple[Words, Network]:
+    return _fit(docs)[:2]
+
+
+def fit_and_score(docs: DataFrame) -> DataFrame:
+    """The scores of the documents that the network is trained on, whose words are looked up once for both."""
+    words, net, encoded = _fit(docs)
+    return score_encoded(encoded, words, net)

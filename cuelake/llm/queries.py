@@ -18,8 +18,7 @@ def _tokenizer(name: str) -> str:
 
 
 def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return lm.score(docs, *lm.fit(docs))
+    return lm.fit_and_score(table(spark, sf_dir, "documents"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -515,6 +515,19 @@ def test_lm_awkward(spark):
     assert lm.score(none, *lm.fit(none)).count() == 0
 
 
+def test_lm_looks_words_up_once_for_training_and_scores(spark, tmp_path):
+    rows = [(k, prose(random.Random(k), 60)) for k in range(30)] + [(30, None), (31, ""), (None, "One  one"), (5, "again")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    words, _ = lm.fit(docs)
+    encoded = lm.encode(docs, words).collect()
+    ids = {(r["doc_id"], bytes(r["ids"])) for r in encoded}
+    assert ids == {(i, array("H", [words.id_of(w) for w in (t or "").lower().encode().split()]).tobytes()) for i, t in rows}
+    assert {r["round"] for r in encoded} == set(range(lm.ROUNDS)) and lm.MOST + lm.BUCKETS < 1 << 16
+    at_once = sorted(lm.fit_and_score(docs).collect(), key=str)
+    assert [r["n_tokens"] for r in at_once] == [r["n_tokens"] for r in sorted(lm.score(docs, *lm.fit(docs)).collect(), key=str)]
+
+
 def test_lm_averages_many_networks(spark):
     vectors = [np.full(5, k, np.float32) for k in range(7)]
     frame = spark.createDataFrame([(k + 1, bytearray(v.tobytes())) for k, v in enumerate(vectors)], "weight long, net binary").coalesce(1)
