@@ -4,8 +4,10 @@ Every form of every entry is searched in one pass over a text by an Aho-Corasick
 text and in what is found, however large the dictionary. Forms compare in NFC; those that don't keep their case are searched in the
 lower-cased text, the others in the text as it is, in the same scan.
 
-Only distinct forms travel to the tasks, not entries: a form shared by many entries is one path of the automaton, and
-a join on the form finds its entries. The forms' size is summed first. Up to `SHARD` code points they are one
+Only distinct forms travel to the tasks, not entries: a form shared by many entries is one path of the automaton. Entries that
+have the same forms among those found anywhere are one class, which is in a text or not as a whole: texts are joined with
+classes and made distinct there, and each entry of a class follows without another look. Counts of entries don't need them
+one by one. The forms' size is summed first. Up to `SHARD` code points they are one
 broadcast; a larger dictionary is dealt into shards of about that size by the forms' hash, which are searched one after another,
 each with its own scan and broadcast, so that neither the driver nor a task ever holds more than a shard.
 
@@ -27,6 +29,8 @@ from cuelake.sources.storage import fresh
 
 #: Code points of the forms of one automaton, about.
 SHARD = 1 << 22
+#: Entries of a class that are dealt out together, about.
+TOGETHER = 64
 
 
 def normalized_forms(forms: DataFrame) -> DataFrame:
@@ -76,13 +80,15 @@ def _hits(texts: DataFrame, keys: list[str], names: dict[bool, list[str]]) -> Da
     return searched.select(*keys, F.inline(kinds)).select(*keys, "exact", F.explode("forms").alias("form"))
 
 
-def term_matches(texts: DataFrame, keys: list[str], forms: DataFrame, shard: int = SHARD) -> DataFrame:
-    """(keys, entry_id): the entries of (entry_id, form, case_sensitive) that have a form in a text of (keys, text)."""
-    spark = texts.sparkSession
-    known = normalized_forms(forms)
-    path = fresh(spark, "dictionary-forms")
-    known.write.parquet(path)
-    known = spark.read.schema(known.schema).parquet(path)
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = fresh(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _classes(texts: DataFrame, keys: list[str], forms: DataFrame, shard: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(keys, class) of the classes of entries that are in a text; (class, n, first), the number of entries and the least one; (entry_id, class, n)."""
+    known = _written(normalized_forms(forms), "dictionary-forms")
     distinct = known.select("exact", "form").distinct()
     size = distinct.agg(F.sum(F.length("form"))).first()[0] or 0
     shards = max(1, -(-size // shard))
@@ -93,13 +99,23 @@ def term_matches(texts: DataFrame, keys: list[str], forms: DataFrame, shard: int
             out[r["exact"]].append(r["form"])
         return out
 
-    if shards == 1:
-        hits = _hits(texts, keys, names(0))
-    else:
-        parts = []
-        for k in range(shards):
-            part = _hits(texts, keys, names(k))
-            part.write.parquet(at := fresh(spark, "dictionary-hits"))
-            parts.append(spark.read.schema(part.schema).parquet(at))
-        hits = reduce(DataFrame.union, parts)
-    return hits.join(known, ["exact", "form"]).select(*keys, "entry_id").distinct()
+    # a small file of texts is much work, hence not one task's
+    spread = texts.select(*keys, "text").repartition(*keys, "text")
+    hits = reduce(DataFrame.union, [_written(_hits(spread, keys, names(k)).distinct(), "dictionary-hits") for k in range(shards)])
+    found = _written(hits.select("exact", "form").distinct().withColumn("id", F.monotonically_increasing_id()), "dictionary-found")
+    sets = _written(known.join(found, ["exact", "form"]).groupBy("entry_id").agg(F.sort_array(F.collect_set("id")).alias("ids")), "dictionary-sets")
+    classes = sets.groupBy("ids").agg(F.count("*").alias("n"), F.min("entry_id").alias("first")).withColumn("class", F.monotonically_increasing_id())
+    classes = _written(classes, "dictionary-classes")
+    of_form = classes.select("class", F.explode("ids").alias("id")).join(found, "id").select("exact", "form", "class")
+    pairs = hits.join(of_form, ["exact", "form"]).select(*keys, "class").distinct()
+    return pairs, classes.select("class", "n", "first"), sets.join(classes, "ids").select("entry_id", "class", "n")
+
+
+def term_matches(texts: DataFrame, keys: list[str], forms: DataFrame, shard: int = SHARD) -> DataFrame:
+    """(keys, entry_id): the entries of (entry_id, form, case_sensitive) that have a form in a text of (keys, text)."""
+    pairs, classes, members = _classes(texts, keys, forms, shard)
+    # a class's entries in lists, so that neither a large class nor one of many texts is one task's
+    lists = F.ceil(F.col("n") / TOGETHER)
+    packed = members.groupBy("class", F.pmod(F.xxhash64("entry_id"), lists).alias("list")).agg(F.collect_list(F.struct("entry_id")).alias("entries"))
+    asked = pairs.join(classes, "class").select(*keys, "class", F.explode(F.sequence(F.lit(0).cast("long"), lists - 1)).alias("list"))
+    return asked.join(packed.hint("merge"), ["class", "list"]).select(*keys, F.inline("entries"))

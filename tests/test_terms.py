@@ -41,3 +41,21 @@ def test_a_large_dictionary_takes_one_scan(spark):
     began = time.time()
     got = {(r["doc"], r["entry_id"]) for r in terms.term_matches(texts, ["doc"], forms, 1 << 24).collect()}
     assert {(i, f"entry-{i}") for i in range(2_000)} <= got and time.time() - began < 120
+
+
+def shared_forms():
+    """Forty entries that share forms, in texts of which some keys have several."""
+    rng = random.Random(3)
+    texts = [(i % 25, 0, "".join(rng.choice("abcdX ") for _ in range(rng.randint(0, 9)))) for i in range(60)]
+    return texts, [(f"e{i}", f, i % 4 == 0) for i in range(40) for f in rng.sample(["a", "b", "ab", "cd", "X", "never there"], 3)]
+
+
+def test_entries_of_a_class_follow_without_another_look(spark, monkeypatch):
+    """Rows of texts and entries aren't made distinct one by one, and a class's entries are dealt out in lists."""
+    monkeypatch.setattr(terms, "TOGETHER", 2)
+    texts, forms = shared_forms()
+    found = terms.term_matches(spark.createDataFrame(texts, TEXTS), ["doc"], spark.createDataFrame(forms, FORMS), 4)
+    plan = str(found._jdf.queryExecution().executedPlan())
+    assert "HashAggregate" not in plan.split("SortMergeJoin")[0]
+    got, want = [tuple(r) for r in found.collect()], {(d, e) for d, _, e in plain(texts, forms)}
+    assert set(got) == want and len(got) == len(want) > 300
