@@ -119,3 +119,9 @@ def term_matches(texts: DataFrame, keys: list[str], forms: DataFrame, shard: int
     packed = members.groupBy("class", F.pmod(F.xxhash64("entry_id"), lists).alias("list")).agg(F.collect_list(F.struct("entry_id")).alias("entries"))
     asked = pairs.join(classes, "class").select(*keys, "class", F.explode(F.sequence(F.lit(0).cast("long"), lists - 1)).alias("list"))
     return asked.join(packed.hint("merge"), ["class", "list"]).select(*keys, F.inline("entries"))
+
+
+def entry_counts(texts: DataFrame, keys: list[str], forms: DataFrame, shard: int = SHARD) -> DataFrame:
+    """(keys, entries, first_entry): of the rows of `term_matches` the number and the least entry of each key."""
+    pairs, classes, _ = _classes(texts, keys, forms, shard)
+    return pairs.join(classes, "class").groupBy(*keys).agg(F.sum("n").alias("entries"), F.min("first").alias("first_entry"))

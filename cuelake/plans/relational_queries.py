@@ -143,8 +143,7 @@ def jn13_dictionary(spark, d):
 @query("jn13_matched_entries", sql(f"SELECT task_id, count(DISTINCT entry_id)::BIGINT AS entries, min(entry_id) AS first_entry FROM (SELECT DISTINCT task_id, entry_id FROM segments x, dictionary_forms WHERE {_HAS}) GROUP BY task_id"))
 def jn13_entries(spark, d):
     """The entries that a task's transcript calls for: no form has a line's end in it, so its cues are searched one by one."""
-    found = TM.term_matches(D.segments(spark, d), ["task_id"], D.dictionary_forms(spark, d))
-    return found.groupBy("task_id").agg(F.count("*").alias("entries"), F.min("entry_id").alias("first_entry"))
+    return TM.entry_counts(D.segments(spark, d), ["task_id"], D.dictionary_forms(spark, d))
 
 
 @query("jn14_import_diff", """SELECT coalesce(a.p_partkey, b.p_partkey) AS part, CASE WHEN a.p_partkey IS NULL THEN 'added' WHEN b.p_partkey IS NULL THEN 'missing' WHEN a.n = b.n THEN 'unchanged' ELSE 'updated' END AS change

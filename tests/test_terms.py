@@ -59,3 +59,12 @@ def test_entries_of_a_class_follow_without_another_look(spark, monkeypatch):
     assert "HashAggregate" not in plan.split("SortMergeJoin")[0]
     got, want = [tuple(r) for r in found.collect()], {(d, e) for d, _, e in plain(texts, forms)}
     assert set(got) == want and len(got) == len(want) > 300
+
+
+def test_counts_of_entries_need_no_row_an_entry(spark):
+    texts, forms = shared_forms()
+    found = terms.entry_counts(spark.createDataFrame(texts, TEXTS), ["doc"], spark.createDataFrame(forms, FORMS))
+    want = {}
+    for d, _, e in plain(texts, forms):
+        want.setdefault(d, set()).add(e)
+    assert sorted(map(tuple, found.collect())) == sorted((d, len(e), min(e)) for d, e in want.items())
