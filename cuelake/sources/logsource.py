@@ -1,8 +1,9 @@
 """Event logs as a data source: `spark.read.format("event_log")` and `spark.readStream.format("event_log")`.
 
 A log is a file of JSON lines, or a folder of them, that writers append to. The path may be of any file system that Arrow
-knows by its URI (file, s3, gs, hdfs). Partitions are ranges of `blockSize` bytes, planned from the files' sizes alone; a
-line belongs to the range that it begins in, so no byte is parsed twice and no file is one task. Conditions on the task and on
+knows by its URI (file, s3, gs, hdfs). Files are cut into ranges at multiples of `blockSize` bytes, planned from the files' sizes alone; a
+line belongs to the range that it begins in, so no byte is parsed twice and no file is one task. Small blocks of a large log are one
+range, and small files one partition, so that the number of tasks follows from the bytes and not from the block size. Conditions on the task and on
 the sequence number are taken over from the query and applied before rows are made.
 
 As a stream, the offset of a file is the end of its last whole line: a line whose end isn't written yet is held back and
@@ -15,21 +16,34 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable, Iterator
+from typing import TYPE_CHECKING
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 SCHEMA = "event_id string, task_id string, sequence bigint, occurred_at string, type string, data string"
 CHUNK = 1 << 20
+#: A log is about so many partitions, and more if they'd have more than so many bytes; rows of a batch.
+PARTS, PART_BYTES, BATCH = 64, 16 << 20, 8192
 
 
-class Range(InputPartition):
+class Range:
     """The lines of a file that begin in [start, end); `tail`: also a last one without its end."""
 
     def __init__(self, path: str, start: int, end: int, tail: bool):
         self.path, self.start, self.end, self.tail = path, start, end, tail
 
 
+class Ranges(InputPartition):
+    """What one task reads."""
+
+    def __init__(self, ranges: list[Range]):
+        self.ranges = ranges
+
+
 def _system(uri: str):
     from pyarrow import fs
 
@@ -114,31 +128,63 @@ def members(text: str) -> dict[str, tuple[object, str]]:
     return out
 
 
+_TEXTS = ("event_id", "task_id", "occurred_at", "type", "data")
+
+
 def event(line: bytes) -> tuple | None:
     """A row of an event's line; None if it doesn't read or has no number. Values that aren't texts are kept as they stand."""
+    text = line.decode("utf-8", "replace")
     try:
-        row = members(line.decode("utf-8", "replace"))
+        row = json.loads(text)
+        if not isinstance(row, dict):
+            return None
+        if all(isinstance(row.get(c), str | None) for c in _TEXTS) and type(row.get("sequence")) is int:
+            return row.get("event_id"), row.get("task_id"), row["sequence"], row.get("occurred_at"), row.get("type"), row.get("data")
+        row = members(text)
     except (ValueError, RecursionError):
         return None
     if not isinstance(n := row.get("sequence", (None,))[0], int) or isinstance(n, bool):
         return None
-    texts = {c: None if c not in row or row[c][0] is None else row[c][0] if isinstance(row[c][0], str) else row[c][1] for c in ("event_id", "task_id", "occurred_at", "type", "data")}
+    texts = {c: None if c not in row or row[c][0] is None else row[c][0] if isinstance(row[c][0], str) else row[c][1] for c in _TEXTS}
     return texts["event_id"], texts["task_id"], n, texts["occurred_at"], texts["type"], texts["data"]
 
 
-def _ranges(path: str, start: int, end: int, block: int, tail: bool) -> list[Range]:
-    return [Range(path, a, min(a + block, end), tail) for a in range(start, end, block)]
+def planned(spans: list[tuple[str, int, int]], block: int, tail: bool) -> list[Ranges]:
+    """Partitions of the bytes (path, start, end): ranges of the least multiple of `block` that gives no more than about `PARTS`
+    of them, or of `PART_BYTES`, and neighbours together up to that size."""
+    size = block * max(1, -(-min(sum(end - start for _, start, end in spans) // PARTS, PART_BYTES) // block))
+    out, held = [], size
+    for path, start, end in spans:
+        for a in range(start, end, size):
+            r = Range(path, a, min(a + size, end), tail)
+            if held + r.end - r.start > size:
+                out.append(Ranges([]))
+                held = 0
+            out[-1].ranges.append(r)
+            held += r.end - r.start
+    return out
+
 
+def _rows(uri: str, part: Ranges | None, tests: list[tuple[str, str, object]]) -> Iterator[pa.RecordBatch]:
+    import pyarrow as pa
 
-def _rows(uri: str, part: Range | None, tests: list[tuple[str, str, object]]) -> Iterator[tuple]:
     if part is None:  # a plan without partitions is read once, with none
         return
     system, _ = _system(uri)
     place = {"task_id": 1, "sequence": 2}
-    for line in lines(system, part):
-        row = event(line)
-        if row and all(row[place[c]] is not None and (row[place[c]] == v if op == "=" else row[place[c]] > v if op == ">" else row[place[c]] >= v) for c, op, v in tests):
-            yield row
+    schema = pa.schema([(c, pa.int64() if c == "sequence" else pa.string()) for c in ("event_id", "task_id", "sequence", "occurred_at", "type", "data")])
+    tests, rows = [(place[c], op, v) for c, op, v in tests], []
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    for r in part.ranges:
+        for line in lines(system, r):
+            row = event(line)
+            if row and all(row[k] is not None and (row[k] == v if op == "=" else row[k] > v if op == ">" else row[k] >= v) for k, op, v in tests):
+                rows.append(row)
+                if len(rows) >= BATCH:
+                    yield batch()
+                    rows.clear()
+    if rows:
+        yield batch()
 
 
 class LogReader(DataSourceReader):
@@ -155,10 +201,10 @@ class LogReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Range]:
-        return [r for path, size in log_files(self.uri).items() for r in _ranges(path, 0, size, self.block, True)]
+    def partitions(self) -> list[Ranges]:
+        return planned([(path, 0, size) for path, size in log_files(self.uri).items()], self.block, True)
 
-    def read(self, partition: Range) -> Iterator[tuple]:
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         return _rows(self.uri, partition, self.tests)
 
 
@@ -178,10 +224,10 @@ class LogStreamReader(DataSourceStreamReader):
                 self.known[path] = end
         return dict(self.known)
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
-        return [r for path, to in end.items() for r in _ranges(path, start.get(path, 0), to, self.block, False)]
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
+        return planned([(path, start.get(path, 0), to) for path, to in end.items()], self.block, False)
 
-    def read(self, partition: Range) -> Iterator[tuple]:
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         return _rows(self.uri, partition, [])
 
     def commit(self, end: dict) -> None:

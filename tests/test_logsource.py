@@ -68,3 +68,33 @@ def test_a_stream_holds_back_a_torn_line_until_it_is_whole(spark):
 def test_no_log_is_no_row(spark):
     logsource.register(spark)
     assert spark.read.format("event_log").load(fresh(spark, "nowhere")).count() == 0
+
+
+def test_small_blocks_of_a_large_log_are_few_tasks():
+    """The number of tasks follows from the bytes; what they have is each byte once, in order."""
+    files = [("a", 0, 600_000_000), ("b", 0, 10), ("c", 5, 9), ("d", 0, 0), ("e", 0, 90_000_000)]
+    parts = logsource.planned(files, 4096, True)
+    assert 64 <= len(parts) < 140 and all(r.start % 4096 == 0 or r.path == "c" for p in parts for r in p.ranges)
+    flat = [r for p in parts for r in p.ranges]
+    for path, start, end in files:
+        own = [(r.start, r.end) for r in flat if r.path == path]
+        assert [a for a, _ in own] == [start, *(b for _, b in own[:-1])][: len(own)] and (own[-1][1] == end if own else start == end)
+    assert len(logsource.planned([(f"{k}", 0, 100) for k in range(10_000)], 1 << 20, True)) <= 2
+    assert [len(logsource.planned([("a", 0, n << 30)], 16 << 20, True)) for n in (1, 100)] == [64, 6400]
+
+
+@pytest.mark.parametrize("block", [1, 5, 64, 1000])
+def test_each_line_is_in_the_range_that_it_begins_in(tmp_path, block, monkeypatch):
+    monkeypatch.setattr(logsource, "CHUNK", 16)
+    text = "\n".join("x" * (k * 7 % 40) for k in range(60)).encode()
+    (tmp_path / "log.jsonl").write_bytes(text)
+    system, path = logsource._system(f"file://{tmp_path}/log.jsonl")
+    ranges = [logsource.Range(path, a, min(a + block, len(text)), True) for a in range(0, len(text), block)]
+    assert [x for r in ranges for x in logsource.lines(system, r)] == text.split(b"\n")
+
+
+def test_values_that_are_no_texts_are_kept_as_they_stand():
+    line = b'{"event_id": 7, "sequence": 2, "task_id": null, "data": {"a":  [1.0]}, "type": "x\\u00e9"}'
+    assert logsource.event(line) == ("7", None, 2, None, "xé", '{"a":  [1.0]}')
+    assert logsource.event(b'{"sequence": 3, "type": "y", "sequence": 4}') == (None, None, 4, None, "y", None)
+    assert [logsource.event(x) for x in (b"[]", b"3", b'{"sequence": true}', b'{"sequence": 1.0}', b'{"sequence": 1} x', b"")] == [None] * 6
