@@ -97,14 +97,16 @@ def unfold(parsed: DataFrame, name: str) -> DataFrame:
 
 
 def frames(documents: DataFrame):
-    """A function from a relation's name to its rows. The bodies are parsed once and each list is unfolded once; both are written."""
+    """A function from a relation's name to its rows. The bodies are parsed once and each list is unfolded once; both are written.
+    Their joins are sorted: of a relation's file a rule reads two or three columns, which Spark takes for so small that it would
+    broadcast millions of rows, for all rules at once."""
     spark, paths = documents.sparkSession, {}
 
     def written(name: str, rows: DataFrame) -> DataFrame:
         if name not in paths:
             paths[name] = fresh(spark, f"documents-{name}")
             rows.write.parquet(paths[name])
-        return spark.read.parquet(paths[name])
+        return spark.read.parquet(paths[name]).hint("merge")
 
     parsed = written("parsed", documents.select("doc_id", "kind", F.try_parse_json("body").alias("doc")))
 
@@ -151,7 +153,7 @@ def frames(documents: DataFrame):
     }
 
     def get(name: str) -> DataFrame:
-        return derived[name]() if name in derived else written(name, unfold(parsed, name))
+        return derived[name]().hint("merge") if name in derived else written(name, unfold(parsed, name))
 
     return get
 

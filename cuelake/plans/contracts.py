@@ -163,9 +163,10 @@ SQL = D.SQL + "".join(f", {name} AS ({duck(_cte(name))})" for name in TABLES)
 
 
 def _list(df: DataFrame, keys: list[str], order: list[str], fields: dict[str, str], name: str) -> DataFrame:
-    """One array a key: its rows as objects, in order."""
+    """One array a key: its rows as objects, in order. Such lists are most of a document, but Spark takes them for as small as a
+    field, so their joins are to be sorted."""
     item = F.struct(*[F.expr(e).alias(k) for k, e in fields.items()])
-    return df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, item.alias("item")))), lambda x: x["item"]).alias(name))
+    return df.hint("merge").groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, item.alias("item")))), lambda x: x["item"]).alias(name))
 
 
 def _time(ms: str) -> str:
@@ -185,7 +186,7 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
         text = F.to_json(F.expr(body), {"ignoreNullFields": "false"})
         return rows.select(F.concat(F.lit(f"{kind}-"), F.col("task_id").cast("string")).alias("doc_id"), F.lit(kind).alias("kind"), text.alias("body"))
 
-    transcript = bodies(tasks.join(segments, task).join(get("transcripts").select("task_id", "full_text"), task), "transcript", f"""named_struct('created_at', {_time('artifact_at')}, 'audio', named_struct('duration_ms', duration_ms),
+    transcript = bodies(tasks.join(segments, task).join(get("transcripts").select("task_id", "full_text").hint("merge"), task), "transcript", f"""named_struct('created_at', {_time('artifact_at')}, 'audio', named_struct('duration_ms', duration_ms),
         'full_text', full_text, 'segments', segments, 'call', named_struct('outcome', transcript_call, 'started_at', {_time('artifact_at - 5')}, 'ended_at', {_time('artifact_at - task_id % 7')}, 'error_ref', CAST(NULL AS STRING)),
         'errors', transform(sequence(1, greatest(1, transcript_errors)), k -> named_struct('error_id', 'e' || k)), 'no_errors', transcript_errors < 1)""")
     suggested = _list(get("proposals"), task, ["pos"], {"suggestion_id": "suggestion_id", "kind": "kind", "start_ms": "from_ms", "end_ms": "to_ms"}, "suggestions")

@@ -6,6 +6,7 @@ import json
 import pytest
 
 from cuelake.operators import documents as D
+from cuelake.plans import contracts
 
 
 def t(second):
@@ -155,3 +156,11 @@ def test_odd_documents(spark):
     rows = [(1, "transcript", "null"), (2, "verification", "[]"), (3, None, None), (4, "verification", '{"calls": 5, "staging": {"a": 1}, "errors": [1, null, "x", []], "warnings": null}'), (5, "transcript", json.dumps(TRANSCRIPT)), (5, "transcript", json.dumps(TRANSCRIPT))]
     D.issues(spark.createDataFrame(rows, "doc_id long, kind string, body string")).collect()
     assert D.issues(spark.createDataFrame([], "doc_id long, kind string, body string")).count() == 0
+
+
+def test_documents_and_their_rules_broadcast_nothing(spark):
+    """Lists of a document, and relations of which a rule reads few columns, are taken for small whatever their size."""
+    made = contracts.documents(spark, "/root/testdata/sf0.001")
+    for df in (made, D.issues(made.where("kind = 'verification'"))):
+        plan = str(df._jdf.queryExecution().executedPlan())
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
